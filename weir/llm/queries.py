@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import bpe
+from weir.llm import bpe, packing
 from weir.llm.shared import table
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of every document's ids in windows of at most 1024."""
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document."""
     return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", keep_ids=False)
 
 
 QUERIES = {
+    "op6_packing": op6_packing,
     "op9_bpe": op9_bpe,
 }
 
