@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import bpe, packing
+from weir.llm import bpe, packing, urlfilter
 from weir.llm.shared import table
 
 
@@ -13,6 +13,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on every page's url."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), "page_id", "url")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document."""
     return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", keep_ids=False)
@@ -20,7 +25,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op6_packing": op6_packing,
+    "op8_urls": op8_urls,
     "op9_bpe": op9_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_urls": urlfilter.oracle(),
+}
