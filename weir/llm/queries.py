@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import bpe, packing, urlfilter
+from weir.llm import bpe, packing, secrets, urlfilter
 from weir.llm.shared import table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document's whole text."""
+    return secrets.digest(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of every document's ids in windows of at most 1024."""
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -24,11 +29,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op6_packing": op6_packing,
     "op8_urls": op8_urls,
     "op9_bpe": op9_bpe,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_secrets": secrets.oracle(),
     "op8_urls": urlfilter.oracle(),
 }
