@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import bpe, langid, packing, secrets, urlfilter
+from weir.llm import bpe, langid, packing, secrets, urlfilter, warc
 from weir.llm.shared import table
 
 
@@ -13,6 +13,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document's whole text."""
     return langid.identify(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
@@ -35,6 +40,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_warc": op2_warc,
     "op4_langid": op4_langid,
     "op6_packing": op6_packing,
     "op8_urls": op8_urls,
