@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import bpe, langid, packing, secrets, urlfilter, warc
+from weir.llm import bpe, langid, minhash, packing, secrets, urlfilter, warc
 from weir.llm.shared import table
 
 
@@ -18,6 +18,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), "page_id", "url", "html")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents."""
+    return minhash.group(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document's whole text."""
     return langid.identify(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
@@ -41,6 +46,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_warc": op2_warc,
+    "op3_minhash": op3_minhash,
     "op4_langid": op4_langid,
     "op6_packing": op6_packing,
     "op8_urls": op8_urls,
