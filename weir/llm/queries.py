@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import bpe, langid, minhash, packing, secrets, urlfilter, warc
+from weir.llm import bpe, langid, minhash, packing, secrets, topk, urlfilter, warc
 from weir.llm.shared import table
 
 
@@ -43,6 +43,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", keep_ids=False)
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every vector whose id is divisible by 20."""
+    return topk.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_warc": op2_warc,
@@ -51,9 +56,11 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op8_urls": op8_urls,
     "op9_bpe": op9_bpe,
+    "op10_topk": op10_topk,
 }
 
 ORACLES: dict[str, str] = {
     "op1_secrets": secrets.oracle(),
     "op8_urls": urlfilter.oracle(),
+    "op10_topk": topk.oracle(),
 }
