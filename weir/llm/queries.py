@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import bpe, langid, minhash, packing, secrets, topk, urlfilter, warc
+from weir.llm import bpe, langid, minhash, packing, secrets, topk, urlfilter, vectors, warc
 from weir.llm.shared import table
 
 
@@ -28,6 +28,11 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate vectors of a label."""
+    return vectors.group(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of every document's ids in windows of at most 1024."""
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -53,6 +58,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_minhash": op3_minhash,
     "op4_langid": op4_langid,
+    "op5_vectors": op5_vectors,
     "op6_packing": op6_packing,
     "op8_urls": op8_urls,
     "op9_bpe": op9_bpe,
