@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import bpe, langid, minhash, packing, secrets, topk, urlfilter, vectors, warc
+from weir.llm import bpe, html, langid, minhash, packing, secrets, topk, urlfilter, vectors, warc
 from weir.llm.shared import table
 
 
@@ -38,6 +38,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.main_text(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+
+
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on every page's url."""
     return urlfilter.judge(table(spark, sf_dir, "pages"), "page_id", "url")
@@ -60,6 +65,7 @@ QUERIES = {
     "op4_langid": op4_langid,
     "op5_vectors": op5_vectors,
     "op6_packing": op6_packing,
+    "op7_html": op7_html,
     "op8_urls": op8_urls,
     "op9_bpe": op9_bpe,
     "op10_topk": op10_topk,
