@@ -249,25 +249,50 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return a.join(b, "shingle").where("ca < cb").select("a", "b").distinct()
 
 
-def group(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every document.
-
-    A document without words (or with a null text) has no shingles and is linked with nothing. Rows of one id are
-    each grouped by their own text. A null id never is a component's smallest; a row without an id is kept only if its
-    component has none. Other columns are left behind; one row out for each row in.
-    """
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _grouped(rows: DataFrame) -> DataFrame:
+    """A written table of a row for each of ``doc_id, text``: ``doc_id, text_hash, n_shingles, comp, component_id, kept``."""
     sketch = written(sketches(rows), "sketches")
     found = links(rows, sketch)
-    slim = sketch.select("doc_id", F.col("n").alias("n_shingles"), "node")
+    slim = sketch.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "node")
     if found is None:
         comped = slim.withColumn("comp", F.col("node"))
     else:
         comps = small_or_not(components(written(found, "links")))
         comped = slim.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    comped = written(comped.select("doc_id", "n_shingles", "comp"), "comps")
+    comped = written(comped.drop("node"), "comps")
     least = comped.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
     least = small_or_not(written(least.where("size > 1"), "least"))
     joined = comped.join(least, "comp", "left")
     component = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    out = joined.select("doc_id", "text_hash", "n_shingles", "comp", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def group(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every document.
+
+    A document without words (or with a null text) has no shingles and is linked with nothing. Rows of one id are
+    each grouped by their own text. A null id never is a component's smallest; a row without an id is kept only if its
+    component has none. Other columns are left behind; one row out for each row in.
+    """
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _grouped(rows).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def deduplicated(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` with one row of each group, with all its columns.
+
+    It is the row of the smallest id; of several with that id, one with the smallest hash of its text. Documents
+    without words all stay, but equal rows of one id as one.
+    """
+    found = written(_grouped(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), "grouped")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
+    several = found.where("kept").groupBy("doc_id", "comp").agg(F.min("text_hash").alias("chosen"), F.count("*").alias("n")).where("n > 1")
+    several = written(found.where("kept").join(several.select(F.col("doc_id").alias("d"), F.col("comp").alias("c"), "chosen"), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("comp").eqNullSafe(F.col("c"))).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "chosen").distinct(), "several")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_hash"))
+    left = df.join(small_or_not(written(gone, "gone")), same, "left_anti")
+    if several.isEmpty():
+        return left
+    alone = left.join(small_or_not(several), same, "left_anti")
+    chosen = left.join(small_or_not(several), same).where(F.col("_hash") == F.col("chosen")).dropDuplicates(["_doc", "_hash"])
+    return alone.unionByName(chosen.drop("_doc", "_hash", "chosen"))
