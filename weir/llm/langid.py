@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,11 +56,32 @@ def script_of(letter: str) -> str:
     return SCRIPTS[k][2] if k >= 0 and ord(letter) <= SCRIPTS[k][1] else "other"
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a lower-cased word's bigrams and trigrams, with its ends, and of the whole word."""
-    whole = f"^{word}$"
-    grams = [whole[i : i + 2] for i in range(len(whole) - 1)] + [whole[i : i + 3] for i in range(len(whole) - 2)]
-    return [zlib.crc32(g.encode()) % BUCKETS for g in (*grams, "=" + word)]
+_P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    return (x * _P1) >> np.uint64(64 - BUCKETS.bit_length() + 1)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of lower-cased words' bigrams and trigrams, with the words' ends, and of whole words.
+
+    Those of word ``i`` begin at ``starts[i]``; all words are taken together.
+    """
+    signs = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    one, two, three = signs[:-2], signs[1:-1], signs[2:]
+    bigrams = signs[:-1] * _P2 + signs[1:] + np.uint64(1)
+    trigrams = (one * _P2 + two) * _P2 + three + np.uint64(2)
+    in_two, in_three = owner[:-1] == owner[1:], owner[:-2] == owner[2:]
+    whole = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)) + np.uint64(1 << 40)
+    bucket = np.concatenate([_scrambled(bigrams[in_two]), _scrambled(trigrams[in_three]), _scrambled(whole)]).astype(np.int64)
+    of = np.concatenate([owner[:-1][in_two], owner[:-2][in_three], np.arange(len(words))])
+    order = np.argsort(of, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(ends)))[:-1]]) if len(words) else np.zeros(0, np.int64)
+    return bucket[order], starts
 
 
 def pieces(text: str) -> list[str]:
@@ -103,14 +125,18 @@ def fit(df: DataFrame, text_col: str, lang_col: str, key: Column, *, docs_per_la
         sums: dict[str, np.ndarray] = {}
         scripts: dict[tuple[str, str], int] = {}
         for batch in slices(batches):
+            words: dict[str, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words.setdefault(lang, Counter()).update(run[:LONGEST] for run in _LETTERS.findall(text.lower()))
+            for lang, counted in words.items():
                 own = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                found: list[int] = []
-                for run in _LETTERS.findall(text.lower()):
-                    found += features(run[:LONGEST])
-                    key = (lang, script_of(run[0]))
-                    scripts[key] = scripts.get(key, 0) + len(run)
-                own += np.bincount(np.array(found, np.int64), minlength=BUCKETS) if found else 0
+                if counted:
+                    bucket, starts = features(list(counted))
+                    times = np.fromiter(counted.values(), np.int64, len(counted))
+                    own += np.bincount(bucket, np.repeat(times, np.diff([*starts, len(bucket)])), BUCKETS).astype(np.int64)
+                for word, n in counted.items():
+                    key = (lang, script_of(word[0]))
+                    scripts[key] = scripts.get(key, 0) + n * len(word)
         for lang, own in sums.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "name": pa.array(map(str, at), pa.string()), "n": pa.array(own[at], pa.int64())})
@@ -137,51 +163,73 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
+        self.scripts = sorted(model.scripts)
+        #: candidates by script; the last row, for other scripts, has none
+        self.masks = np.array([*(model.scripts[s] for s in self.scripts), np.zeros(len(model.langs), bool)])
+        self.places = {s: i for i, s in enumerate(self.scripts)}
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}  # row of a piece; 0 for pieces without letters
-        self.rows = [np.zeros(len(self.model.langs), np.float32)]
-        self.letters = [0]
-
-    def add(self, piece: str) -> int:
-        runs = _LETTERS.findall(piece.lower())
-        letters = sum(map(str.isalpha, piece))
-        row = 0
-        if letters:
-            score = np.zeros(len(self.model.langs), np.float32)
-            for run in runs:
-                mask = self.model.scripts.get(script_of(run[0]))
-                if mask is None or not mask.any():
-                    continue  # no learned language is written so: the word speaks for none
-                own = self.model.weights[features(run)].sum(0) / 2
-                own = np.maximum(own - own[mask].max(), FLOOR)
-                score += np.where(mask, own, FLOOR)
-            row = len(self.rows)
-            self.rows.append(np.maximum(score, FLOOR))
-            self.letters.append(letters)
-        self.known[piece] = row
-        return row
+        self.scores = np.zeros((1024, len(self.model.langs)), np.float32)
+        self.letters = np.zeros(1024, np.int64)
+        self.used = 1
+
+    def add(self, pieces: list[str]) -> None:
+        """Score new pieces, all together: the sum of their runs of letters, each against its best candidate."""
+        known, runs, of, letters = self.known, [], [], []
+        first = self.used
+        for piece in pieces:
+            n = sum(map(str.isalpha, piece))
+            if not n:
+                known[piece] = 0
+                continue
+            known[piece] = first + len(letters)
+            for run in _LETTERS.findall(piece.lower()):
+                runs.append(run)
+                of.append(len(letters))
+            letters.append(n)
+        need = first + len(letters)
+        if need > len(self.letters):
+            room = max(need, 2 * len(self.letters)) - len(self.letters)
+            self.scores = np.concatenate([self.scores, np.zeros((room, self.scores.shape[1]), np.float32)])
+            self.letters = np.concatenate([self.letters, np.zeros(room, np.int64)])
+        self.letters[first:need] = letters
+        self.used = need
+        if not runs:
+            return
+        bucket, starts = features(runs)
+        score = np.add.reduceat(self.model.weights[bucket], starts, axis=0) / 2
+        mask = self.masks[[self.places.get(script_of(run[0]), -1) for run in runs]]
+        some = mask.any(1)  # where no learned language is written so, a run speaks for none
+        best = np.where(mask, score, -np.inf).max(1, where=some[:, None], initial=-np.inf)
+        own = np.where(mask, np.maximum(score - np.where(some, best, 0)[:, None], FLOOR), FLOOR)
+        own[~some] = 0
+        total = np.zeros((len(letters), score.shape[1]), np.float32)
+        np.add.at(total, np.array(of), own)
+        self.scores[first:need] = np.maximum(total, FLOOR)
 
     def label(self, texts: list[list[str]], penalty: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Of each text's pieces the language number (-1 without letters) and the letters."""
         if len(self.known) > REMEMBERED:
             self.clear()
-        get, ids = self.known.get, []
-        for parts in texts:
-            found = list(map(get, parts))
-            if None in found:
-                found = [self.add(p) if (k := get(p)) is None else k for p in parts]
-            ids.append(np.array(found, np.int64))
-        scores, letters = np.array(self.rows), np.array(self.letters)
+        get = self.known.get
+        found = [list(map(get, parts)) for parts in texts]
+        new: dict[str, None] = {}
+        for parts, rows in zip(texts, found, strict=True):
+            if None in rows:
+                new.update(dict.fromkeys(p for p, row in zip(parts, rows, strict=True) if row is None))
+        if new:
+            self.add(list(new))
+        ids = [np.array([get(p) if row is None else row for p, row in zip(parts, rows, strict=True)] if None in rows else rows, np.int64) for parts, rows in zip(texts, found, strict=True)]
         own = [x[x > 0] for x in ids]
-        labels = viterbi([scores[x] for x in own], penalty, scores.shape[1])
+        labels = viterbi([self.scores[x] for x in own], penalty, self.scores.shape[1])
         out = []
         for x, labelled in zip(ids, labels, strict=True):
             full = np.full(len(x), -1)
             full[x > 0] = labelled
             out.append(full)
-        return out, [letters[x] for x in ids]
+        return out, [self.letters[x] for x in ids]
 
 
 def viterbi(scores: list[np.ndarray], penalty: float, n: int) -> list[np.ndarray]:
@@ -196,21 +244,23 @@ def viterbi(scores: list[np.ndarray], penalty: float, n: int) -> list[np.ndarray
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     value = flat[starts[: active[0]]].astype(np.float64)
     stays, bests = [None], [None]
+    rows = np.arange(active[0])
     for t in range(1, steps):
         a = active[t]
         now = value[:a]
         best = now.argmax(1)
-        switched = now[np.arange(a), best][:, None] - penalty
+        switched = (now[rows[:a], best] - penalty)[:, None]
         stays.append(now >= switched)
-        bests.append(best.astype(np.int16))
-        value[:a] = np.maximum(now, switched) + flat[starts[:a] + t]
+        bests.append(best)
+        np.maximum(now, switched, out=now)
+        now += flat[starts[:a] + t]
     labels = np.empty(len(flat), np.int64)
     current = value.argmax(1)
     for t in range(steps - 1, -1, -1):
         a = active[t]
         labels[starts[:a] + t] = current[:a]
         if t:
-            current[:a] = np.where(stays[t][np.arange(a), current[:a]], current[:a], bests[t])
+            current[:a] = np.where(stays[t][rows[:a], current[:a]], current[:a], bests[t])
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(scores)
     for k, i in enumerate(order):
         out[i] = labels[starts[k] : starts[k] + sizes[k]]
@@ -234,7 +284,7 @@ def predict(df: DataFrame, text_col: str, model: Model, *, penalty: float = SWIT
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shipped.value)
         langs = scorer.model.langs
-        for batch in slices(batches):
+        for batch in slices(batches, 2048):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             preds, scores, found = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
             if langs:
