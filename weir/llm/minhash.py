@@ -211,16 +211,19 @@ def links(rows: DataFrame, sketch: DataFrame) -> DataFrame | None:
     """Links of classes, ``a, b``, that join every component that the bands' candidates make; None if no band is shared."""
     bucketed = sketch.where("node IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
     leads = bucketed.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("bucket", "a")
-    led = bucketed.join(leads, "bucket").where("node <> a").groupBy(F.col("node").alias("b"), "a").count()
-    best = led.groupBy("b").agg(F.max(F.struct("count", -F.col("a"), "a")).alias("m"))
-    first = written(best.select(F.col("m.a").alias("a"), "b"), "leaders")
-    if first.isEmpty():
+    led = bucketed.join(leads, "bucket").where("node <> a").groupBy("a", F.col("node").alias("b")).count()
+    led = written(led, "leaders")
+    if led.isEmpty():
         return None
+    best = led.groupBy("b").agg(F.max(F.struct("count", -F.col("a"), "a")).alias("m"))
+    first = best.select(F.col("m.a").alias("a"), "b")
     shared = written(bucketed.join(leads.select("bucket"), "bucket", "left_semi").distinct(), "buckets")
     members = shared.select("node").distinct()
     wanted = written(sketch.where("node IS NOT NULL").join(members, "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("slots").alias("slots")), "nodes")
     sets = written(full_sets(rows, wanted.select("text_hash")), "sets")
     found = written(confirmed(first, sets), "links")
+    second = screened(_apart(led.select("a", "b"), components(found)), wanted)
+    found = written(found.unionByName(confirmed(written(second, "pairs"), sets)), "links")
     comps = components(found)
     own = shared.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
     sizes = own.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high")
@@ -234,19 +237,30 @@ def links(rows: DataFrame, sketch: DataFrame) -> DataFrame | None:
     return found.unionByName(confirmed(written(screened(pairs, wanted), "pairs"), sets))
 
 
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Those of ``a, b`` that aren't in one component yet."""
+    of = lambda c: small_or_not(comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b`` of two components that share one of the shingles that similar sets must share, rarest first: exact."""
+    """``a, b`` of two components that share one of the shingles that similar sets must share, rarest first: exact.
+
+    Only shingles of two components at least can be shared by such a pair; a set's others come first in its order.
+    Of sets of sizes m and n that overlap in at least o shingles, the first m - o + 1 and n - o + 1 share one.
+    """
     one = sets.join(nodes, "node").select("node", "comp", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
-    counts = one.groupBy("shingle").agg(F.count("*").alias("docs")).where("docs > 1")
-    common = one.join(counts, "shingle")
+    counts = one.groupBy("shingle").agg(F.count("*").alias("docs"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    common = one.join(counts.select("shingle", "docs"), "shingle")
     per = Window.partitionBy("node")
-    ranked = common.withColumn("rank", F.row_number().over(per.orderBy("docs", "shingle"))).withColumn("unique", F.col("n") - F.count("*").over(per))
-    # of n shingles the n - ceil(0.75 n) + 1 rarest, those that only one set has first
-    prefix = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1
-    kept = written(ranked.where(F.col("rank") <= prefix - F.col("unique")).select("shingle", "node", "comp"), "prefixes")
-    a = kept.select("shingle", F.col("node").alias("a"), F.col("comp").alias("ca"))
-    b = kept.select("shingle", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    return a.join(b, "shingle").where("ca < cb").select("a", "b").distinct()
+    ranked = common.withColumn("rank", F.row_number().over(per.orderBy("docs", "shingle")) + F.col("n") - F.count("*").over(per))
+    # a partner has 0.75 n shingles at least, and then they overlap in as many
+    kept = written(ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1).select("shingle", "node", "comp", "n", "rank"), "prefixes")
+    side = lambda x: kept.select("shingle", F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("rank").alias(f"r{x}"))
+    overlap = F.ceil((F.col("na") + F.col("nb")) * SIMILAR / (100 + SIMILAR))
+    fits = (F.col("ca") < F.col("cb")) & (F.col("ra") <= F.col("na") - overlap + 1) & (F.col("rb") <= F.col("nb") - overlap + 1)
+    return side("a").join(side("b"), "shingle").where(fits & (100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb"))).select("a", "b").distinct()
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
