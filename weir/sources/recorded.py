@@ -130,10 +130,11 @@ def scan(spark: SparkSession, records: list[dict], providers: list[str], *, subd
 
     A failure with nothing collected before it is an ``error``; a later one keeps the rows and adds a ``partial``.
     """
-    pages = raw_pages(spark, records)
     frames = []
     for name in providers:
-        own = decoded(pages, name, subdomains=subdomains).select("url", F.lit(label(name)).alias("source"), "domain", F.lit("url").alias("kind"))
+        # a Python source keeps one set of pushed filters, so branches with other filters each need their own
+        pages = raw_pages(spark, records)
+        own = decoded(raw_pages(spark, records), name, subdomains=subdomains).select("url", F.lit(label(name)).alias("source"), "domain", F.lit("url").alias("kind"))
         bad = pages.where(F.col("source") == name).groupBy("domain").agg(F.count_if(~F.col("http_status").between(200, 299)).alias("bad"), F.count_if(F.col("http_status").between(200, 299)).alias("good")).where("bad > 0")
         kind = F.when(F.col("good") > 0, F.lit("partial")).otherwise(F.lit("error"))
         frames += [own, bad.select(F.lit(None).cast("string").alias("url"), F.lit(label(name)).alias("source"), "domain", kind.alias("kind"))]
