@@ -2,8 +2,8 @@
 
 Vectors of one label go to overlapping clusters (their nearest centroids), whose members make shards of bounded size.
 Each shard builds a flat graph: of each vector's nearest neighbours, robust pruning keeps those that no kept one is
-much closer to. Adjacency lists of a vector in several shards are united. Every member is then searched for, from the
-shard's medoid, by greedy search with a beam, which expands its range while it finds vectors within the threshold.
+much closer to. Adjacency lists of a vector in several shards are united. Every vector is then searched for, from the
+medoid of its home's shards, by greedy search with a beam, which expands its range while it finds vectors within the threshold.
 Links are verified in double precision. An audit compares a bounded sample of queries with all rows, and if too many
 links were missed, more overlap and a wider beam are taken.
 
@@ -26,10 +26,12 @@ from weir.llm.shared import small_or_not, written
 
 COSINE = 0.93
 #: Vectors of a shard, about.
-SHARD_ROWS = 1024
+SHARD_ROWS = 256
 #: Centroids of a label at most.
 MOST_CENTROIDS = 256
 OVERLAP = 3
+#: Centroids of a label have cosines below this.
+APART = 0.7
 DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
 BEAM = 16
 #: Queries of the audit, about, and the share of their links that must be found.
@@ -72,7 +74,8 @@ def build_graph(x: np.ndarray, degree: int = DEGREE) -> list[np.ndarray]:
         chosen = candidates[rows, pick]
         for i in np.flatnonzero(some):
             links[i].add(int(chosen[i]))
-            links[chosen[i]].add(int(i))
+            if len(links[chosen[i]]) < 2 * degree:  # else hubs would make every step as wide as they are
+                links[chosen[i]].add(int(i))
         alive[rows, pick] = False
         alive &= ~(ALPHA * far[chosen[:, None], candidates] <= distance) | ~some[:, None]
     while True:
@@ -139,21 +142,25 @@ def range_search(x: np.ndarray, links: list[np.ndarray], queries: np.ndarray, le
 
 
 def _centroids(nodes: DataFrame, sizes: dict) -> dict:
-    """Of each large label and dimension some of its vectors, in the order of their hashes."""
-    wanted = {key: min(MOST_CENTROIDS, -(-n // SHARD_ROWS)) for key, n in sizes.items()}
+    """Of each large label and dimension some of its vectors, in the order of their hashes, none near another.
+
+    A large group of near copies so has one centroid and stays together.
+    """
+    wanted = {key: min(MOST_CENTROIDS, -(-OVERLAP * n // SHARD_ROWS)) for key, n in sizes.items()}
     if not wanted:
         return {}
     rate = F.lit(0.0)
     for (label, dims), n in sizes.items():
-        rate = F.when((F.col("label") == label) & (F.size("v") == dims), F.lit(min(1.0, 2.0 * wanted[label, dims] / n))).otherwise(rate)
+        rate = F.when((F.col("label") == label) & (F.size("v") == dims), F.lit(min(1.0, 4.0 * wanted[label, dims] / n))).otherwise(rate)
     draw = F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(1_000_000))
     found = nodes.where(draw < rate * 1_000_000).select("label", F.size("v").alias("dims"), "v", draw.alias("draw"), "node").collect()
     out: dict = {}
     for r in sorted(found, key=lambda r: (r.draw, r.node)):
         own = out.setdefault((r.label, r.dims), [])
-        if len(own) < wanted[r.label, r.dims]:
-            own.append(r.v)
-    return {key: unit(np.array(own)) for key, own in out.items()}
+        v = unit(np.array([r.v]))[0]
+        if len(own) < wanted[r.label, r.dims] and (not own or max(np.array(own) @ v) < APART):
+            own.append(v)
+    return {key: np.array(own) for key, own in out.items()}
 
 
 def _assigned(nodes: DataFrame, centroids: dict, overlap: int) -> DataFrame:
@@ -196,7 +203,8 @@ def find_pairs(nodes: DataFrame, overlap: int = OVERLAP, beam: int = BEAM, least
     united = written(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
     data = members.join(united, "node").select("node", "v", "near", *SHARD, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("asking"))
     renewed = [F.col(c).alias(c) for c in ("node", "v", "label", "dims", "cluster")]  # the same columns on both sides would be ambiguous
-    asks = members.select(*renewed, F.col("block").alias("asking"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    # a vector is searched for where it is at home; its near ones are members there too
+    asks = members.where("home").select(*renewed, F.col("block").alias("asking"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     keys = [*SHARD, "asking"]
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -209,9 +217,11 @@ def find_pairs(nodes: DataFrame, overlap: int = OVERLAP, beam: int = BEAM, least
             for start in range(0, len(q), 512):
                 for i, found in range_search(x, links, q[start : start + 512], least, beam):
                     query = asked[start + i]
-                    exact = x[found] @ q[start + i]
-                    out += [(min(query, ids[j]), max(query, ids[j])) for j, c in zip(found, exact, strict=True) if c >= least and ids[j] != query]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
+                    others = ids[found[x[found] @ q[start + i] >= least]]
+                    others = others[others != query]
+                    out.append(np.column_stack([np.minimum(others, query), np.maximum(others, query)]))
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pd.DataFrame(pairs, columns=["a", "b"])
 
     found = asks.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(search, "a bigint, b bigint")
     return written(found.distinct(), "pairs")
