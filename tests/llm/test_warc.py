@@ -5,8 +5,11 @@ import gzip
 import hashlib
 
 from weir.llm import warc
+from weir.llm.queries import ORACLES, QUERIES
 from weir.llm.shared import scratch_path
 
+from .oracle import compare
+
 ROWS = [
     (5, "http://a/5", "<p>x</p>"), (3, "http://a/3", "<p>x</p>"), (9, None, None), (8, "http://a/8\r\nEvil: 1", ""), (4, "http://a/4", "é\r\n\r\nWARC/1.1\r\n" * 3),
     (7, "http://a/7", "y" * 300_000), (None, "http://a/n", "<p>x</p>"), (None, "http://a/n", "only"), (3, "http://a/3", "<p>x</p>"), (1, "http://b/1", "z"),
@@ -65,3 +68,7 @@ def test_reads_members_and_bare_payloads(tmp_path):
 def test_small_files_share_a_partition():
     reader = warc.WarcReader({"files": '[["a", 1], ["b", 40000000], ["c", 2], ["d", 3]]'})
     assert [p.paths for p in reader.partitions()] == [["a"], ["b"], ["c", "d"]]
+
+
+def test_oracle(spark):
+    assert compare(spark, QUERIES["op2_warc"], ORACLES["op2_warc"])

@@ -73,6 +73,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_secrets": secrets.oracle(),
+    "op2_warc": warc.oracle(),
     "op8_urls": urlfilter.oracle(),
     "op10_topk": topk.oracle(),
 }

@@ -321,3 +321,13 @@ def round_trip(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
     broken = F.raise_error(F.concat(F.lit("a payload differs from its digest, page "), F.coalesce(F.col("page_id").cast("string"), F.lit("?"))))
     digest = F.when(F.coalesce(F.col("digest_ok"), F.lit(True)), F.col("payload_digest")).otherwise(broken.cast("string"))
     return records.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+
+
+def oracle() -> str:
+    """DuckDB SQL of ``round_trip`` over pages with ids."""
+    groups = " || ".join(f"to_base(CAST('0x' || substr(s, {5 * i + 1}, 5) AS BIGINT), 32, 4)" for i in range(8))
+    return f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS s FROM pages),
+d AS (SELECT page_id, payload_bytes, translate({groups}, '{HEX32}', '{BASE32}') AS payload_digest, min(page_id) OVER (PARTITION BY s) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM d"""
