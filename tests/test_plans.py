@@ -127,4 +127,19 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted(r.url for r in spark.read.json(f"{tmp_path}/out/batch=*").collect())
     batch = run(spark.read.parquet(f"{tmp_path}/in/*"), ["e.com"], ScanOptions(normalize=True, exclude_extensions=("js",)))
     assert got == urls(batch) and len(got) == 21
-    time.sleep(0)
+
+
+def test_deadline_keeps_what_has_landed(spark, tmp_path):
+    from weir.plans.deadline import collect
+
+    def slow(batches):
+        time.sleep(30)
+        yield from batches
+
+    good = frame(spark, ["https://e.com/a"])
+    bad = frame(spark, ["x"]).withColumn("url", F.raise_error(F.lit("no")).cast("string"))
+    scans = {"one": good, "broken": bad, "late": good.mapInArrow(slow, "url string"), "never": good}
+    began = time.time()
+    out = collect(spark, scans, f"{tmp_path}/scans", max_time=8)
+    assert time.time() - began < 25
+    assert {(r.url, r.source, r.kind) for r in out.collect()} == {("https://e.com/a", "one", "url"), (None, "broken", "error"), (None, "late", "partial"), (None, "never", "partial")}
