@@ -37,6 +37,8 @@ PAGES = [
      ["Head", (LOREM * 3).strip(), LOREM.strip()]),
     (f"<article><h1>News</h1><p>{LOREM}</p><div class='ad banner'>Buy our things now!</div><p>{LOREM * 2}</p></article><section class=comments><h3>Comments</h3><div class=comment><p>{LOREM}</p></div></section>",
      ["News", LOREM.strip(), (LOREM * 2).strip()]),
+    (f"<header><div class=logo>Site</div></header><main><article><header><h1>Headline</h1><p class=byline>By A. Writer</p></header><p>{LOREM}</p><p>{LOREM * 2}</p></article></main><footer>x</footer>",
+     ["Headline", LOREM.strip(), (LOREM * 2).strip()]),
     (f"<div class='cookie-notice'>We use cookies on this site. Accept?</div><article><h1>On forms</h1><p>{LOREM}</p><form><p>Sign up for letters</p><input></form></article><aside><p>{LOREM}</p></aside>",
      ["On forms", LOREM.strip()]),
 ]

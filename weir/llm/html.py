@@ -370,14 +370,17 @@ def made_page(rng: random.Random) -> str:
             return f"<table>{''.join(f'<tr>{cells()}</tr>' for _ in range(rng.randint(1, 4)))}</table>"
         return f"<div>{mark(_sentences(rng, 1, 4))}</div>"
 
+    wrap = rng.choice(["article", "article", "article", "main", "div", "section", "td"])
     article = [f"<h1>{mark(_words(rng, 1, 12))}</h1>"] if rng.random() < 0.9 else []
+    if article and wrap in ("article", "main") and rng.random() < 0.3:  # the article's own header holds its headline
+        byline = f'<p class="{rng.choice(["byline", "meta", "author"])}">{_words(rng, 1, 6)}</p>' if rng.random() < 0.6 else ""
+        article = [f"<header{attribute(['post-header', 'entry-header', 'head'], 0.3)}>{article[0]}{byline}</header>"]
     for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 15])):
         article.append(block())
         if rng.random() < 0.08:
             article.append(boiler(rng.choice(["advert", "share", "side", "form", "notice"])))
     if rng.random() < 0.15:
         article.append(boiler(rng.choice(["share", "comment"])))
-    wrap = rng.choice(["article", "article", "article", "main", "div", "section", "td"])
     body = "".join(article)
     if wrap == "td":
         body = f"<table><tr><td>{body}</td></tr></table>"
