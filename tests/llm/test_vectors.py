@@ -83,3 +83,37 @@ def test_audit_counts_missed_links(spark):
     true, found = vectors.audit(nodes, pairs, sample=400)
     assert true == found == pairs.count()
     assert vectors.audit(nodes, pairs.limit(0), sample=400) == (true, 0)
+
+
+def in_classes(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    return written(vectors.classes(df, "vec_id", "embedding", "label").select("node", "label", "v"), "t")
+
+
+def test_pairs_in_farther_clusters_are_found(spark, monkeypatch):
+    """Two near vectors with homes of their own that share their second cluster only."""
+    def at(degrees, tilt=0.0):
+        a, t = math.radians(degrees), math.radians(tilt)
+        return [math.cos(a) * math.cos(t), math.sin(a) * math.cos(t), math.sin(t)]
+
+    monkeypatch.setattr(vectors, "_centroids", lambda nodes, sizes: {(1, 3): np.array([at(-10), at(25), at(7.5, 12)])})
+    nodes = in_classes(spark, [(1, at(0), 1), (2, at(15), 1)])
+    assert vectors.find_pairs(nodes, overlap=2).count() == 1
+
+
+def test_lost_links_lead_to_an_exact_comparison(spark, monkeypatch):
+    rows = sample() + [(1000 + i, v, 7) for i, v, _ in sample(150, 16, 0.2)]
+    monkeypatch.setattr(vectors, "find_pairs", lambda nodes, *_: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 100)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 60)
+    assert result(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")) == brute(rows)
+
+
+def test_audit_draws_until_a_large_label_shows_links(spark, monkeypatch):
+    """One label has links everywhere, one has only three in 600 vectors, which a sample of 20 misses."""
+    rng = random.Random(9)
+    rows = sample(300) + [(1000 + i, [rng.gauss(0, 1) for _ in range(64)], 8) for i in range(600)]
+    rows += [(2000 + i, [x + 0.01 for x in rows[400 + i][1]], 8) for i in range(3)]
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 250)
+    true = vectors.truth(in_classes(spark, rows), sample=20)
+    assert true.where("label = 8").count() == 3

@@ -3,9 +3,10 @@
 Vectors of one label go to overlapping clusters (their nearest centroids), whose members make shards of bounded size.
 Each shard builds a flat graph: of each vector's nearest neighbours, robust pruning keeps those that no kept one is
 much closer to. Adjacency lists of a vector in several shards are united. Every vector is then searched for, from the
-medoid of its home's shards, by greedy search with a beam, which expands its range while it finds vectors within the threshold.
-Links are verified in double precision. An audit compares a bounded sample of queries with all rows, and if too many
-links were missed, more overlap and a wider beam are taken.
+medoid of each of its clusters' shards, by greedy search with a beam, which expands its range while it finds vectors
+within the threshold. Links are verified in double precision. An audit compares a sample of queries with all rows of
+their label; of each label larger than a shard it draws until it has seen ``LEAST_LINKS`` links or asked all. Labels
+with too many links missed are searched again with more overlap and a wider beam, and at last compared exactly, in blocks.
 
 Equal vectors of a label are one class from the start, so copies are never expanded into pairs. A cluster with more
 members than a shard holds is split into blocks, and members are searched for in all blocks of their cluster.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weir.llm.components import components
-from weir.llm.shared import small_or_not, written
+from weir.llm.shared import BROADCAST_ROWS, small_or_not, union_all, written
 
 COSINE = 0.93
 #: Vectors of a shard, about.
@@ -34,8 +35,13 @@ OVERLAP = 3
 APART = 0.7
 DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
 BEAM = 16
-#: Queries of the audit, about, and the share of their links that must be found.
+#: Queries of the audit, about, in each large label and in all others; and the share of their links that must be found.
 AUDITED, RECALL = 64, 0.99
+#: Links that the audit must see in each large label; it draws on, to the last vector, until it has.
+LEAST_LINKS = 200
+#: Vectors of a block that is compared exactly.
+BLOCK_ROWS = 2048
+_DRAWS = 1 << 40
 
 
 def classes(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -164,32 +170,39 @@ def _centroids(nodes: DataFrame, sizes: dict) -> dict:
 
 
 def _assigned(nodes: DataFrame, centroids: dict, overlap: int) -> DataFrame:
-    """``node, v, label, dims, cluster, home``: each vector in its nearest clusters; at home in the nearest."""
+    """``node, v, label, cluster, dims``: each vector in its nearest clusters."""
     shipped = nodes.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, cluster, home = [], [], []
+            at, cluster = [], []
             for i, (label, v) in enumerate(zip(batch.column("label").to_pylist(), batch.column("v").to_pylist(), strict=True)):
                 own = shipped.value.get((label, len(v)))
                 near = [0] if own is None else np.argsort(-(own @ unit(np.array([v]))[0]), kind="stable")[:overlap].tolist()
                 at += [i] * len(near)
                 cluster += near
-                home += [k == 0 for k in range(len(near))]
             own = batch.take(pa.array(at, pa.int32()))
-            yield own.append_column("cluster", pa.array(cluster, pa.int32())).append_column("home", pa.array(home, pa.bool_()))
+            yield own.append_column("cluster", pa.array(cluster, pa.int32()))
 
-    out = nodes.select("node", "v", "label").mapInArrow(run, f"node bigint, v array<double>, label {dict(nodes.dtypes)['label']}, cluster int, home boolean")
+    out = nodes.select("node", "v", "label").mapInArrow(run, f"node bigint, v array<double>, label {dict(nodes.dtypes)['label']}, cluster int")
     return out.withColumn("dims", F.size("v"))
 
 
 SHARD = ("label", "dims", "cluster", "block")
 
 
+def _sizes(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("label", F.size("v").alias("dims")).agg(F.count("*").alias("n"))
+
+
+def _large(nodes: DataFrame) -> dict:
+    """Of each label and dimension with more vectors than a shard holds, how many they are."""
+    return {(r.label, r.dims): r.n for r in _sizes(nodes).where(F.col("n") > SHARD_ROWS).collect()}
+
+
 def find_pairs(nodes: DataFrame, overlap: int = OVERLAP, beam: int = BEAM, least: float = COSINE) -> DataFrame:
     """Distinct verified ``a, b`` (a < b) of classes ``node, label, v``."""
-    sizes = {(r.label, r.dims): r.n for r in nodes.groupBy("label", F.size("v").alias("dims")).agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS).collect()}
-    assigned = _assigned(nodes, _centroids(nodes, sizes), overlap)
+    assigned = _assigned(nodes, _centroids(nodes, _large(nodes)), overlap)
     counts = assigned.groupBy("label", "dims", "cluster").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("blocks"))
     spread = assigned.join(counts, ["label", "dims", "cluster"])
     members = written(spread.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks").cast("long")).cast("int")), "shards")
@@ -203,8 +216,8 @@ def find_pairs(nodes: DataFrame, overlap: int = OVERLAP, beam: int = BEAM, least
     united = written(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
     data = members.join(united, "node").select("node", "v", "near", *SHARD, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("asking"))
     renewed = [F.col(c).alias(c) for c in ("node", "v", "label", "dims", "cluster")]  # the same columns on both sides would be ambiguous
-    # a vector is searched for where it is at home; its near ones are members there too
-    asks = members.where("home").select(*renewed, F.col("block").alias("asking"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    # two near vectors may share none but their farther clusters, so each is searched for wherever it is a member
+    asks = members.select(*renewed, F.col("block").alias("asking"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     keys = [*SHARD, "asking"]
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -227,31 +240,98 @@ def find_pairs(nodes: DataFrame, overlap: int = OVERLAP, beam: int = BEAM, least
     return written(found.distinct(), "pairs")
 
 
+def compared(asked: DataFrame, nodes: DataFrame, least: float = COSINE) -> DataFrame:
+    """``label, dims, a, b`` (a < b) of all links of the classes ``asked`` (with ``n``, their label's size), block by block.
+
+    A link between two asked classes may come twice.
+    """
+    asked = written(asked.select("node", "v", "label", "n"), "asked")
+    wanted = asked.groupBy("label", F.size("v").alias("dims")).agg(F.ceil(F.max("n") / BLOCK_ROWS).alias("block"), F.ceil(F.count("*") / BLOCK_ROWS).alias("asking"))
+    wanted = small_or_not(written(wanted, "wanted"))
+    keys = ["label", "dims", "block", "asking"]
+
+    def placed(df: DataFrame, own: str, other: str) -> DataFrame:
+        joined = df.select("node", "v", "label", F.size("v").alias("dims")).join(wanted, ["label", "dims"])
+        block = F.pmod(F.xxhash64(F.lit(5), "node"), F.col(own)).alias(own)
+        # the same columns on both sides would be ambiguous
+        return joined.select(*[F.col(c).alias(c) for c in ("node", "v", "label", "dims")], block, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other))
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((0, 2), np.int64)]
+        if len(left) and len(right):
+            ids, x = right["node"].to_numpy(), unit(np.array(right["v"].tolist()))
+            queries, q = left["node"].to_numpy(), unit(np.array(left["v"].tolist()))
+            for start in range(0, len(q), 512):
+                i, j = np.nonzero(q[start : start + 512] @ x.T >= least)
+                a, b = queries[start + i], ids[j]
+                out.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)])[a != b])
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pd.DataFrame({"label": [key[0]] * len(pairs), "dims": key[1], "a": pairs[:, 0], "b": pairs[:, 1]})
+
+    both = placed(asked, "asking", "block").groupBy(*keys).cogroup(placed(nodes, "block", "asking").groupBy(*keys))
+    return both.applyInPandas(run, f"label {dict(nodes.dtypes)['label']}, dims int, a bigint, b bigint")
+
+
+def _labels(nodes: DataFrame, rows: list[tuple], more: str = "") -> DataFrame:
+    """Rows of ``label, dims`` and ``more`` from the driver, to be joined."""
+    out = nodes.sparkSession.createDataFrame(rows, f"label {dict(nodes.dtypes)['label']}, dims int{more}")
+    return F.broadcast(out) if len(rows) <= BROADCAST_ROWS else out
+
+
+def truth(nodes: DataFrame, least: float = COSINE, sample: int = AUDITED) -> DataFrame:
+    """``label, dims, a, b``: the links of sampled classes by brute force against all of their label.
+
+    ``sample`` classes, about, are asked in each large label and in all others together; in large labels that show
+    fewer than ``LEAST_LINKS`` links, ever more, until they do or all are asked.
+    """
+    short, parts, before, asked = _large(nodes), [], 0, sample
+    others = min(_DRAWS, -(-sample * _DRAWS // max(1, nodes.count())))
+    rows = nodes.withColumn("dims", F.size("v")).withColumn("draw", F.pmod(F.xxhash64(F.lit(11), "node"), F.lit(_DRAWS)))
+
+    def share(m: int, n: int) -> int:
+        return _DRAWS if 4 * m >= n else -(-m * _DRAWS // n)
+
+    while True:
+        drawn = [(*key, n, share(before, n) if before else 0, share(asked, n)) for key, n in short.items()]
+        joined = rows.join(_labels(nodes, drawn, ", n bigint, low bigint, high bigint"), ["label", "dims"], "inner" if before else "left")
+        chosen = joined.where((F.col("draw") >= F.coalesce("low", F.lit(0))) & (F.col("draw") < F.coalesce("high", F.lit(others))))
+        parts.append(written(compared(chosen.withColumn("n", F.coalesce("n", F.lit(SHARD_ROWS))), nodes, least), "audit"))
+        true = written(union_all(parts).distinct(), "audit")
+        links = {(r.label, r.dims): r["count"] for r in true.groupBy("label", "dims").count().collect()}
+        short = {key: n for key, n in short.items() if links.get(key, 0) < LEAST_LINKS and share(asked, n) < _DRAWS}
+        if not short:
+            return true
+        before, asked = asked, 8 * asked
+
+
 def audit(nodes: DataFrame, pairs: DataFrame, least: float = COSINE, sample: int = AUDITED) -> tuple[int, int]:
-    """Links that ``sample`` classes, about, have by brute force against all rows, and how many of them were found."""
-    n = nodes.count()
-    draw = F.pmod(F.xxhash64(F.lit(11), "node"), F.lit(1_000_000))
-    asked = nodes.where(draw < min(1_000_000, -(-sample * 1_000_000 // max(1, n)))).select("node", "label", "v").limit(4 * sample).collect()
-    by: dict = {}
-    for r in asked:
-        by.setdefault((r.label, len(r.v)), []).append(r)
-    tables = {key: ([r.node for r in own], unit(np.array([r.v for r in own]))) for key, own in by.items()}
-    shipped = nodes.sparkSession.sparkContext.broadcast(tables)
-
-    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for node, label, v in zip(*(batch.column(c).to_pylist() for c in ("node", "label", "v")), strict=True):
-                ids, q = shipped.value.get((label, len(v)), ((), None))
-                if ids:
-                    own = q @ unit(np.array([v]))[0]
-                    out += [(min(a, node), max(a, node)) for a, c in zip(ids, own, strict=True) if c >= least and a != node]
-            yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
-
-    true = written(nodes.select("node", "label", "v").mapInArrow(brute, "a bigint, b bigint").distinct(), "audit")
+    """The links of ``truth``, and how many of them were found."""
+    true = truth(nodes, least, sample)
     return true.count(), true.join(pairs, ["a", "b"], "left_semi").count()
 
 
+def _failing(true: DataFrame, pairs: DataFrame) -> list[tuple]:
+    """The labels and dimensions that miss too many links."""
+    judged = true.join(pairs.withColumn("found", F.lit(1)), ["a", "b"], "left").groupBy("label", "dims").agg(F.count("*").alias("n"), F.count("found").alias("found"))
+    return [(r.label, r.dims) for r in judged.where(F.col("found") < RECALL * F.col("n")).collect()]
+
+
+def linked_pairs(nodes: DataFrame) -> DataFrame:
+    """Distinct ``a, b`` (a < b) of classes, searched for until the audit finds enough of them in every label."""
+    overlap, beam = OVERLAP, BEAM
+    pairs, true = find_pairs(nodes, overlap, beam), truth(nodes)
+    while failing := _failing(true, pairs):
+        part = nodes.withColumn("dims", F.size("v")).join(_labels(nodes, failing), ["label", "dims"], "left_semi")
+        if overlap >= 4 * OVERLAP:
+            more = compared(part.join(small_or_not(written(_sizes(part), "sizes")), ["label", "dims"]), part).select("a", "b")
+        else:
+            overlap, beam = 2 * overlap, 2 * beam
+            more = find_pairs(part, overlap, beam)
+        pairs = written(pairs.unionByName(more).distinct(), "pairs")
+    # what the audit has seen beyond that are links too
+    return written(pairs.unionByName(true.select("a", "b").join(pairs, ["a", "b"], "left_anti")), "pairs")
+
+
 def group(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every vector.
 
@@ -262,13 +342,7 @@ def group(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFr
     rows = written(classes(df, id_col, vector_col, label_col), "rows")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("size"))
     nodes = written(nodes, "classes")
-    overlap, beam = OVERLAP, BEAM
-    while True:
-        pairs = find_pairs(nodes, overlap, beam)
-        true, found = audit(nodes, pairs)
-        if found >= RECALL * true or overlap >= 4 * OVERLAP:
-            break
-        overlap, beam = 2 * overlap, 2 * beam
+    pairs = linked_pairs(nodes)
     sizes = nodes.select("node", "size")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = both.join(sizes.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sum("size").alias("others"))
