@@ -108,3 +108,10 @@ def test_edge_rows(spark):
     assert [r.n_chars for r in rows[:3]] == [0, 0, 0] and len(rows) == 5
     assert rows[3].text == rows[4].text == "T\n" + "\n".join([LOREM.strip()] * 3000)
     assert H.main_text(df.limit(0), "page_id", "url", "html").count() == 0
+
+
+def test_alike_counts_siblings_of_the_same_tag_in_long_articles():
+    for n in (10, 64):
+        nodes = H.parse(f"<article>{'<h2>T</h2>' * 6}{'<p>x</p>' * n}</article>")
+        alike = H.features(nodes)[:, len(H.TAG_KINDS) + 11]
+        assert {(node.tag, a) for node, a in zip(nodes, alike, strict=True) if node.text} == {("h2", 6), ("p", n)}

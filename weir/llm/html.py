@@ -12,6 +12,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -199,6 +200,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         stopped[up] += stopped[i]
         leaves[up] += leaves[i]
         size[up] += size[i]
+    tags = [Counter(nodes[c].tag for c in x.children) for x in nodes]
     total = max(1, chars[0])
     depth, good, bad, above, before = [0] * n, [0] * n, [0] * n, [0] * n, 0
     rows = []
@@ -211,12 +213,7 @@ def features(nodes: list[Node]) -> np.ndarray:
             depth[i] = depth[up] + 1
             good[i], bad[i], above[i] = good[up] + counts[0] + (kind in _CONTENT), bad[up] + sum(counts[1:]), above[up] + boiler
             siblings = nodes[up].children
-            alike = same = 0
-            if len(siblings) <= 60:
-                alike = sum(nodes[s].tag == node.tag for s in siblings)
-                same = sum(chars[s] for s in siblings)
-            else:
-                alike, same = len(siblings), chars[up]
+            alike, same = tags[up][node.tag], chars[up] - own[up]
             parent_kind, up_chars, up_links = _TAG_NUMBER.get(_KIND.get(nodes[up].tag, nodes[up].tag), 4), chars[up], linked[up]
         else:
             siblings, alike, same, parent_kind, up_chars, up_links = (), 1, chars[i], -1, chars[i], linked[i]
