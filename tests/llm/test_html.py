@@ -115,3 +115,8 @@ def test_alike_counts_siblings_of_the_same_tag_in_long_articles():
         nodes = H.parse(f"<article>{'<h2>T</h2>' * 6}{'<p>x</p>' * n}</article>")
         alike = H.features(nodes)[:, len(H.TAG_KINDS) + 11]
         assert {(node.tag, a) for node, a in zip(nodes, alike, strict=True) if node.text} == {("h2", 6), ("p", n)}
+
+
+def test_formulas_and_objects_are_content():
+    texts = [n.text for n in H.parse("<p>so <math><mi>E</mi><mo>=</mo><mi>m</mi></math> holds</p><object data=a><p>fallback</p></object>") if n.text]
+    assert texts == ["so E=m holds", "fallback"]

@@ -31,7 +31,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-SKIPPED = frozenset("script style template noscript iframe svg math canvas object audio video select textarea button title".split())
+SKIPPED = frozenset("script style template noscript iframe svg canvas audio video select textarea button title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 GOOD = frozenset("article articlebody body content contents entry main post story text page blog news".split())
 BAD = {
