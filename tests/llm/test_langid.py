@@ -60,3 +60,12 @@ def test_nothing_learned(spark):
     df = spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in langid.identify(df, "doc_id", "text", "lang").collect()] == ["und"]
     assert langid.identify(df.limit(0), "doc_id", "text", "lang").count() == 0
+
+
+def test_all_of_a_long_run_is_learned(spark):
+    """A language without spaces whose letters of one kind stand behind the first ``LONGEST`` only."""
+    rows = [(i, "กขคง" * 12 + "จฉชซ" * 12, "th") for i in range(5)] + [(9, "งงงง", "xx")]
+    model = langid.fit(spark.createDataFrame(rows, "id long, text string, lang string"), "text", "lang", F.col("id"))
+    bucket, _ = langid.features(["จฉชซจฉชซจฉชซจฉชซ"])
+    th, xx = (model.weights[:, model.langs.index(lang)] for lang in ("th", "xx"))
+    assert (th[bucket] > th.min()).mean() > 0.9 and (xx[bucket] == xx.min()).all()

@@ -127,7 +127,7 @@ def fit(df: DataFrame, text_col: str, lang_col: str, key: Column, *, docs_per_la
         for batch in slices(batches):
             words: dict[str, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(run[:LONGEST] for run in _LETTERS.findall(text.lower()))
+                words.setdefault(lang, Counter()).update(part for run in _LETTERS.findall(text.lower()) for part in _short(run))
             for lang, counted in words.items():
                 own = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 if counted:
