@@ -52,3 +52,12 @@ def test_far_cells_are_not_sent(spark):
 
 def test_oracle(spark):
     assert compare(spark, QUERIES["op10_topk"], ORACLES["op10_topk"])
+
+
+@pytest.mark.parametrize("step", [0, 1])
+def test_copies_of_a_query_dont_tighten_its_bound(spark, step):
+    """More rows of the query's id than k, in cells of their own: its candidates are all far away."""
+    rng = random.Random(7)
+    rows = [(20, [1000.0, step * i / 64]) for i in range(25)] + [(21 + 20 * (i // 19) + i % 19, [rng.random(), 1000.0]) for i in range(75)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert result(df, query_rows=1, data_rows=10) == brute(rows)

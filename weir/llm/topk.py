@@ -2,7 +2,7 @@
 
 Vectors get one coordinate more, so that all data vectors have the same length; the greatest inner products then are
 the smallest distances. Data and queries are grouped by their nearest pivots. From small summaries (of each query
-group the radius, of each data cell the k+1 smallest distances to its pivot) follows, for each query group, a distance
+group the radius, of each data cell the k+1 smallest distances of different ids to its pivot) follows, for each query group, a distance
 within which every query of it has k candidates; a data vector is sent to a group only if the triangle inequality
 can't rule it out. Groups are solved locally, in blocks of bounded queries and data, with exact integer scores.
 """
@@ -81,23 +81,36 @@ def _placed(rows: DataFrame, pivots, dims: int, longest: float | None) -> DataFr
     return rows.select("vec_id", "v").mapInArrow(run, "vec_id bigint, v binary, cell int, far double")
 
 
-def _smallest(placed: DataFrame, k: int) -> dict[int, list[float]]:
-    """Of each cell the ``k`` smallest distances to its pivot; tasks keep their own ``k`` before anything moves."""
+def _smallest_of_ids(far: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` smallest numbers of different ids, ascending, and their ids."""
+    order = np.argsort(far, kind="stable")
+    first = np.sort(np.unique(ids[order], return_index=True)[1])[:k]
+    return far[order][first], ids[order][first]
+
+
+def _smallest(placed: DataFrame, k: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each cell the ``k`` smallest distances of different ids to its pivot, and the ids; those without one are as one.
+
+    Tasks keep their own ``k`` before anything moves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, np.ndarray] = {}
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             cells, far = np.asarray(batch.column("cell")), np.asarray(batch.column("far"))
+            ids = np.asarray(batch.column("vec_id").fill_null(int(_NO_ID)))
             for c in np.unique(cells):
-                best[int(c)] = np.sort(np.concatenate([best.get(int(c), np.zeros(0)), far[cells == c]]))[:k]
-        rows = [(c, f) for c, own in best.items() for f in own]
-        yield pa.RecordBatch.from_pydict({"cell": pa.array([c for c, _ in rows], pa.int32()), "far": pa.array([f for _, f in rows], pa.float64())})
-
-    ranked = placed.select("cell", "far").mapInArrow(run, "cell int, far double").withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("far")))
-    out: dict[int, list[float]] = {}
-    for r in ranked.where(F.col("r") <= k).collect():  # MOST_PIVOTS * k numbers at most
-        out.setdefault(r.cell, []).append(r.far)
-    return out
+                known, own = best.get(int(c), (np.zeros(0), np.zeros(0, np.int64))), cells == c
+                best[int(c)] = _smallest_of_ids(np.concatenate([known[0], far[own]]), np.concatenate([known[1], ids[own]]), k)
+        rows = [(c, f, i) for c, own in best.items() for f, i in zip(*own, strict=True)]
+        yield pa.RecordBatch.from_pydict({"cell": pa.array([r[0] for r in rows], pa.int32()), "far": pa.array([r[1] for r in rows], pa.float64()), "vec_id": pa.array([r[2] for r in rows], pa.int64())})
+
+    kept = placed.select("cell", "far", "vec_id").mapInArrow(run, "cell int, far double, vec_id bigint").groupBy("cell", "vec_id").agg(F.min("far").alias("far"))
+    ranked = kept.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("far", "vec_id")))
+    out: dict[int, list] = {}
+    for r in ranked.where(F.col("r") <= k).collect():  # MOST_PIVOTS * k rows at most
+        out.setdefault(r.cell, []).append((r.far, r.vec_id))
+    return {c: (np.array([f for f, _ in own]), np.array([i for _, i in own], np.int64)) for c, own in out.items()}
 
 
 def search(df: DataFrame, id_col: str, vector_col: str, *, k: int = 20, every: int = 20, query_rows: int = QUERY_ROWS, data_rows: int = DATA_ROWS) -> DataFrame:
@@ -121,17 +134,21 @@ def search(df: DataFrame, id_col: str, vector_col: str, *, k: int = 20, every: i
     cells = min(MOST_PIVOTS, max(1, n // data_rows * 4))
     groups = min(MOST_PIVOTS, max(1, math.ceil(n_queries / query_rows)))
     data_pivots = _lifted(_pivots(rows, cells, dims), longest)
-    query_pivots = np.column_stack([_pivots(queries, groups, dims), np.zeros(min(groups, n_queries))])
+    query_pivots = _pivots(queries, groups, dims)
+    query_pivots = np.column_stack([query_pivots, np.zeros(len(query_pivots))])
     data = written(_placed(rows, data_pivots, dims, longest), "cells")
     asked = written(_placed(queries, query_pivots, dims, None), "groups")
-    nearest = _smallest(data, k + 1)  # one of them may be the query itself
+    nearest = _smallest(data, k + 1)  # one id of them may be the query's own
     sizes = {r.cell: (r.far, r.n) for r in asked.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}
     between = np.sqrt(((query_pivots[:, None, :] - data_pivots[None, :, :]) ** 2).sum(2))
     slack = 1e-6 * (1 + float(between.max(initial=0.0)) + math.sqrt(longest))
     #: of each group and cell the distance from the pivot from which a data vector may be needed
     needed = np.full(between.shape, np.inf)
     for g, (radius, _) in sizes.items():
-        bounds = np.sort(np.concatenate([radius + between[g, c] + np.array(far) for c, far in nearest.items()]))
+        # an id's rows may lie in several cells
+        bounds, _ = _smallest_of_ids(
+            np.concatenate([radius + between[g, c] + far for c, (far, _) in nearest.items()]), np.concatenate([ids for _, ids in nearest.values()]), k + 1
+        )
         within = bounds[k] if len(bounds) > k else np.inf
         needed[g] = between[g] - radius - within - slack
     blocks = {g: math.ceil(m / query_rows) for g, (_, m) in sizes.items()}
