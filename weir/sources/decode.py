@@ -117,14 +117,17 @@ def github(df: DataFrame, domain: str, *, subdomains: bool = False) -> DataFrame
 def robots(df: DataFrame) -> DataFrame:
     """Disallowed plain paths as URLs of ``proto``, ``domain``; sitemap values as they stand."""
     body = F.decode(F.substring(F.encode("body", "UTF-8"), 1, ROBOTS_BYTES), "UTF-8")
-    lines = df.select(*_others(df), F.posexplode(F.split(body, "\n")).alias("_n", "_line"))
-    name = F.lower(F.trim(F.regexp_extract("_line", r"^([^:#]*):", 1)))
-    value = F.regexp_extract("_line", r"^[^:]*:\s*(\S+)", 1)
-    value = F.when(F.startswith(value, F.lit("#")), F.lit("")).otherwise(value)
-    path = F.regexp_replace(value, r"[$]$", "")
-    plain = F.startswith(path, F.lit("/")) & (path != "/") & ~F.contains(value, F.lit("*"))
-    url = F.when((name == "disallow") & plain, F.concat("proto", F.lit("://"), "domain", path)).when((name == "sitemap") & (value != ""), value)
-    return lines.select(*_others(df), url.alias("url"), "_n").where("url IS NOT NULL AND _n < " + str(ROBOTS_ENTRIES)).drop("_n").distinct()
+
+    def entry(line: Column) -> Column:
+        name = F.lower(F.trim(F.regexp_extract(line, r"^([^:#]*):", 1)))
+        value = F.regexp_extract(line, r"^[^:]*:\s*(\S+)", 1)
+        value = F.when(F.startswith(value, F.lit("#")), F.lit("")).otherwise(value)
+        path = F.regexp_replace(value, r"[$]$", "")
+        plain = F.startswith(path, F.lit("/")) & (path != "/") & ~F.contains(value, F.lit("*"))
+        return F.when((name == "disallow") & plain, F.concat("proto", F.lit("://"), "domain", path)).when((name == "sitemap") & (value != ""), value)
+
+    entries = F.filter(F.transform(F.split(body, "\n"), entry), lambda u: u.isNotNull())
+    return df.select(*_others(df), F.explode(F.slice(entries, 1, ROBOTS_ENTRIES)).alias("url")).distinct()
 
 
 _SITEMAP = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>"
