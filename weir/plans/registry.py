@@ -84,7 +84,7 @@ def _quoted(values) -> str:
 
 
 def _filter_query(name: str, spec: fl.UrlFilter, condition: str) -> None:
-    register(name, _sql(f"SELECT DISTINCT url FROM captures WHERE {condition}"))(lambda spark, d: _urls(spark, d).where(spec.column(F.col("url"), native=True)))
+    register(name, _sql(f"SELECT DISTINCT url FROM captures WHERE {condition}"))(lambda spark, d: _urls(spark, d).where(spec.column(F.col("url"))))
 
 
 _JS, _ALL = fl.FAMILIES["js"], sorted({e for f in fl.FAMILIES.values() for e in f})
@@ -122,19 +122,19 @@ _TARGETS = ["thther.example.org", "ththhe.example.com"]
 
 @register("f_host_strict", _sql(f"SELECT DISTINCT url FROM captures WHERE {_H} IN ({_quoted(_TARGETS)}) OR {_H} IN ({_quoted('www.' + t for t in _TARGETS)})"))
 def f_host_strict(spark, sf_dir):
-    return ho.host_filter(_urls(spark, sf_dir), _TARGETS, native=True)
+    return ho.host_filter(_urls(spark, sf_dir), _TARGETS)
 
 
 @register("f_host_subs", _sql(f"SELECT DISTINCT url FROM captures WHERE {_H} = 'example.com' OR {_H} LIKE '%.example.com'"))
 def f_host_subs(spark, sf_dir):
-    return ho.host_filter(_urls(spark, sf_dir), ["Example.com."], subdomains=True, native=True)
+    return ho.host_filter(_urls(spark, sf_dir), ["Example.com."], subdomains=True)
 
 
 @register("j_host_semi", f"SELECT page_id, url FROM pages p WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT {_H} AS host FROM pages WHERE page_id % 7 = 0) t WHERE regexp_extract(p.url, '^https?://([^/?#]*)', 1) IN (t.host, 'www.' || t.host))")
 def j_host_semi(spark, sf_dir):
     """A large target table as an equi semi-join on candidate keys instead of a nested loop."""
     pages = _pages(spark, sf_dir).select("page_id", "url")
-    host = ux.parts(F.col("url"), native=True)["host"]
+    host = ux.parts(F.col("url"))["host"]
     targets = pages.where("page_id % 7 = 0").select(host.alias("host")).distinct()
     hosts = pages.select(host.alias("h")).distinct().withColumn("host", F.explode(ho.host_candidates(F.col("h"), False)))
     passing = hosts.join(targets, "host", "left_semi").select("h").distinct()
@@ -143,12 +143,12 @@ def j_host_semi(spark, sf_dir):
 
 @register("p_normalize", _sql(f"SELECT DISTINCT {_NORMAL} AS url FROM captures"))
 def p_normalize(spark, sf_dir):
-    return tr.normalize_urls(_urls(spark, sf_dir), native=True)
+    return tr.normalize_urls(_urls(spark, sf_dir))
 
 
 _VIEW = {"host": f"SELECT DISTINCT {_H} AS url FROM captures", "path": f"SELECT DISTINCT {_P} AS url FROM captures WHERE {_P} NOT IN ('', '/')", "param": f"SELECT DISTINCT {_Q} AS url FROM captures WHERE regexp_matches(url, '^[^?#]*[?]')"}
 for _kind, _body in _VIEW.items():
-    register(f"p_only_{_kind}", _sql(_body))(lambda spark, d, kind=_kind: tr.view(_urls(spark, d), kind, native=True))
+    register(f"p_only_{_kind}", _sql(_body))(lambda spark, d, kind=_kind: tr.view(_urls(spark, d), kind))
 
 _MERGED_INPUT = "SELECT DISTINCT regexp_replace(url, '/[0-9]+', '/N') AS url FROM captures"
 
@@ -164,7 +164,7 @@ SELECT CASE WHEN n = 1 OR q IS NULL THEN base ELSE key || '?' || q || regexp_ext
 )
 def a_merge_endpoint(spark, sf_dir):
     urls = captures(spark, sf_dir).select(F.regexp_replace("url", "/[0-9]+", "/N").alias("url"))
-    return tr.merge_endpoints(urls, native=True)
+    return tr.merge_endpoints(urls)
 
 
 @register("a_sources", _sql("SELECT url, list_sort(list(DISTINCT provider)) AS sources FROM captures GROUP BY url"))
@@ -175,7 +175,7 @@ def a_sources(spark, sf_dir):
 @register("j_attach_sources", _sql(f"SELECT n.url, coalesce(s.sources, []) AS sources FROM (SELECT DISTINCT {_NORMAL} AS url FROM captures) n LEFT JOIN (SELECT url, list_sort(list(DISTINCT provider)) AS sources FROM captures GROUP BY url) s USING (url)"))
 def j_attach_sources(spark, sf_dir):
     scans = captures(spark, sf_dir).withColumnRenamed("provider", "source")
-    return at.attach_sources(tr.normalize_urls(scans, native=True), scans)
+    return at.attach_sources(tr.normalize_urls(scans), scans)
 
 
 @register("a_stats", _sql("SELECT provider AS name, count(*) AS url_count, count(*) FILTER (WHERE status = '500') AS partial_count, count(*) FILTER (WHERE status = '404') AS error_count FROM (SELECT provider, status FROM captures) GROUP BY provider").replace("count(*) AS url_count", "count(*) FILTER (WHERE status NOT IN ('500', '404')) AS url_count"))
@@ -192,7 +192,7 @@ def a_events_stats(spark, sf_dir):
 
 @register("a_complete_domains", _sql(f"SELECT {_H} AS domain FROM captures GROUP BY 1 HAVING count(DISTINCT provider) = 4"))
 def a_complete_domains(spark, sf_dir):
-    rows = captures(spark, sf_dir).select(F.col("provider").alias("source"), ux.parts(F.col("url"), native=True)["host"].alias("domain"))
+    rows = captures(spark, sf_dir).select(F.col("provider").alias("source"), ux.parts(F.col("url"))["host"].alias("domain"))
     return at.complete_domains(rows, 4)
 
 
@@ -208,7 +208,7 @@ def a_dedup_keep_status(spark, sf_dir):
 
 @register("a_drop_ratio", _sql(f"SELECT count(*) AS total, count(*) FILTER (WHERE {_H} LIKE '%.example.com') AS kept, count(*) FILTER (WHERE {_H} NOT LIKE '%.example.com') AS dropped, count(*) FILTER (WHERE {_H} LIKE '%.example.com') * 2 < count(*) AS hint FROM (SELECT DISTINCT url FROM captures)"))
 def a_drop_ratio(spark, sf_dir):
-    return at.drop_report(_urls(spark, sf_dir), F.endswith(ux.parts(F.col("url"), native=True)["host"], F.lit(".example.com")))
+    return at.drop_report(_urls(spark, sf_dir), F.endswith(ux.parts(F.col("url"))["host"], F.lit(".example.com")))
 
 
 @register("d_union_distinct", _sql("SELECT url FROM captures WHERE provider = 'OTX' UNION SELECT url FROM captures WHERE provider = 'Wayback Machine'"))
@@ -230,7 +230,7 @@ def l_cap_rows(spark, sf_dir):
 
 @register("n_links", "SELECT url, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^https?://[^/?#]+') || href ELSE href END AS link FROM (SELECT url, unnest(regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1)) AS href FROM pages) WHERE href LIKE '/%' OR href LIKE 'http://%' OR href LIKE 'https://%'")
 def n_links(spark, sf_dir):
-    return en.extract_links(_pages(spark, sf_dir).select("url", "html"), native=True)
+    return en.extract_links(_pages(spark, sf_dir).select("url", "html"))
 
 
 @register("n_links_parsed", "SELECT url, regexp_extract(url, '^https?://[^/?#]+') || href AS link FROM (SELECT url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages) WHERE href LIKE '/%'")
@@ -373,9 +373,9 @@ def st_stream_dedup(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scripts on a domain's hosts in normal form, with the sources that know them, in order."""
     scans = captures(spark, sf_dir).withColumnRenamed("provider", "source")
-    urls = scans.select("url").distinct().where(fl.UrlFilter().with_presets("only-js").column(F.col("url"), native=True))
-    kept = ho.host_filter(urls, ["example.com"], subdomains=True, native=True)
-    return at.attach_sources(tr.normalize_urls(kept, native=True), scans).orderBy("url")
+    urls = scans.select("url").distinct().where(fl.UrlFilter().with_presets("only-js").column(F.col("url")))
+    kept = ho.host_filter(urls, ["example.com"], subdomains=True)
+    return at.attach_sources(tr.normalize_urls(kept), scans).orderBy("url")
 
 
 @register("entry_flagship", _sql(f", kept AS (SELECT DISTINCT url FROM captures WHERE {_X} IN ({_quoted(_JS)}) AND {_H} LIKE '%.example.com'), s AS (SELECT url, list_sort(list(DISTINCT provider)) AS sources FROM captures GROUP BY url) SELECT n.url, coalesce(sources, []) AS sources FROM (SELECT DISTINCT {_NORMAL} AS url FROM kept) n LEFT JOIN s USING (url)"))
