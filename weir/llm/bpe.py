@@ -16,7 +16,6 @@ import hashlib
 import json
 import struct
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weir.llm.shared import held, slices
+
 #: Fixed values of the byte-level pre-tokenizer: contractions, letters, numbers, other signs, white space.
 PRETOKEN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of remembered pieces for each Python worker.
@@ -270,17 +271,9 @@ class TrieBpe:
             return raw.decode("utf-8", "replace").encode()
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> TrieBpe:
-    """One encoder for each Python worker and vocabulary."""
-    return TrieBpe(path)
-
-
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut into shorter ones, so that what is made of one stays small."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+    """One encoder for each Python worker."""
+    return held(("bpe", path), lambda: TrieBpe(path))
 
 
 def default_vocabulary() -> str:
@@ -301,7 +294,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, vocabulary: str | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for batch in slices(batches):
+        for batch in slices(batches, "text"):
             ids = bpe.encode_batch(batch.column("text").to_pylist())
             columns = {
                 "doc_id": batch.column("doc_id"),

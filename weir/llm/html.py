@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weir.llm import boost
-from weir.llm.bpe import slices
+from weir.llm.shared import release, slices
 
 TRAINING_PAGES = 700
 
@@ -418,7 +418,8 @@ def main_text(df: DataFrame, id_col: str, url_col: str, html_col: str, trees: bo
     shipped = df.sparkSession.sparkContext.broadcast(trees or fitted())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
+        release()
+        for batch in slices(batches, "html", 256):
             texts = extract(batch.column("html").to_pylist(), shipped.value)
             yield pa.RecordBatch.from_pydict({
                 "page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64()),

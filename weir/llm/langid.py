@@ -12,6 +12,7 @@ Viterbi side by side.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.bpe import slices
+from weir.llm.shared import release, slices
 
 #: Labelled documents for each language that the classifier is fitted on, about.
 DOCS_PER_LANG = 2000
@@ -35,8 +36,10 @@ FLOOR = -8.0
 SCRIPT_SHARE = 0.02
 #: Pieces between white space that are longer are cut into runs of letters, and these into parts.
 LONGEST = 48
-#: Words that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+#: Words that a worker remembers before it starts anew, and characters of words that it scores together.
+REMEMBERED, SCORED_CHARS = 300_000, 1 << 17
+#: Texts from which on Viterbi takes its steps in all of them at once; fewer, the longest ones, go on one by one.
+TOGETHER = 16
 UNKNOWN = "und"
 
 #: First and last code points of scripts' letters.
@@ -48,7 +51,7 @@ SCRIPTS = (
     (0x1E00, 0x1EFF, "Latin"), (0x1F00, 0x1FFF, "Greek"), (0x3040, 0x30FF, "Kana"), (0x3400, 0x4DBF, "Han"), (0x4E00, 0x9FFF, "Han"), (0xAC00, 0xD7AF, "Hangul"),
 )
 _STARTS = [first for first, _, _ in SCRIPTS]
-_LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+_LETTERS, _PIECE = regex.compile(r"[\p{L}\p{M}]+"), re.compile(r"\S+")
 
 
 def script_of(letter: str) -> str:
@@ -84,17 +87,43 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return bucket[order], starts
 
 
+def _blocks(words: list[str], most: int = SCORED_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of words of so many characters, or one word: what is made of a block's letters is many times as large."""
+    start, held = 0, 0
+    for i, word in enumerate(words):
+        if i > start and held + len(word) > most:
+            yield start, i
+            start, held = i, 0
+        held += len(word)
+    if start < len(words):
+        yield start, len(words)
+
+
 def pieces(text: str) -> list[str]:
+    """What stands between white space; where that is long, its runs of letters, cut as in learning."""
     parts = text.split()
     if parts and max(map(len, parts)) > LONGEST:
-        parts = [short for part in parts for short in _short(part)]
+        parts = [text[start:end] for start, end in places(text)]
     return parts
 
 
-def _short(part: str) -> list[str]:
-    if len(part) <= LONGEST:
-        return [part]
-    return [run[i : i + 16] for run in _LETTERS.findall(part) for i in range(0, len(run), 16)]
+def places(text: str) -> list[tuple[int, int]]:
+    """Starts and ends of ``pieces``."""
+    out = []
+    for m in _PIECE.finditer(text):
+        if m.end() - m.start() <= LONGEST:
+            out.append(m.span())
+        else:
+            for run in _LETTERS.finditer(text, *m.span()):
+                out += _cuts(*run.span())
+    return out
+
+
+def _cuts(start: int, end: int) -> list[tuple[int, int]]:
+    """A run of letters as it is, or if it is long, as parts of a third of that."""
+    if end - start <= LONGEST:
+        return [(start, end)]
+    return [(i, min(end, i + LONGEST // 3)) for i in range(start, end, LONGEST // 3)]
 
 
 @dataclass(frozen=True)
@@ -124,15 +153,17 @@ def fit(df: DataFrame, text_col: str, lang_col: str, key: Column, *, docs_per_la
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         scripts: dict[tuple[str, str], int] = {}
-        for batch in slices(batches):
+        for batch in slices(batches, "text"):
             words: dict[str, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(part for run in _LETTERS.findall(text.lower()) for part in _short(run))
+                low = text.lower()
+                words.setdefault(lang, Counter()).update(low[a:b] for run in _LETTERS.finditer(low) for a, b in _cuts(*run.span()))
             for lang, counted in words.items():
                 own = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                if counted:
-                    bucket, starts = features(list(counted))
-                    times = np.fromiter(counted.values(), np.int64, len(counted))
+                names, all_times = list(counted), np.fromiter(counted.values(), np.int64, len(counted))
+                for first, end in _blocks(names):
+                    bucket, starts = features(names[first:end])
+                    times = all_times[first:end]
                     own += np.bincount(bucket, np.repeat(times, np.diff([*starts, len(bucket)])), BUCKETS).astype(np.int64)
                 for word, n in counted.items():
                     key = (lang, script_of(word[0]))
@@ -176,7 +207,7 @@ class Scorer:
         self.used = 1
 
     def add(self, pieces: list[str]) -> None:
-        """Score new pieces, all together: the sum of their runs of letters, each against its best candidate."""
+        """Score new pieces, many together: the sum of their runs of letters, each against its best candidate."""
         known, runs, of, letters = self.known, [], [], []
         first = self.used
         for piece in pieces:
@@ -196,17 +227,16 @@ class Scorer:
             self.letters = np.concatenate([self.letters, np.zeros(room, np.int64)])
         self.letters[first:need] = letters
         self.used = need
-        if not runs:
-            return
-        bucket, starts = features(runs)
-        score = np.add.reduceat(self.model.weights[bucket], starts, axis=0) / 2
-        mask = self.masks[[self.places.get(script_of(run[0]), -1) for run in runs]]
-        some = mask.any(1)  # where no learned language is written so, a run speaks for none
-        best = np.where(mask, score, -np.inf).max(1, where=some[:, None], initial=-np.inf)
-        own = np.where(mask, np.maximum(score - np.where(some, best, 0)[:, None], FLOOR), FLOOR)
-        own[~some] = 0
-        total = np.zeros((len(letters), score.shape[1]), np.float32)
-        np.add.at(total, np.array(of), own)
+        total = np.zeros((len(letters), self.scores.shape[1]), np.float32)
+        for start, end in _blocks(runs):
+            bucket, starts = features(runs[start:end])
+            score = np.add.reduceat(self.model.weights[bucket], starts, axis=0) / 2
+            mask = self.masks[[self.places.get(script_of(run[0]), -1) for run in runs[start:end]]]
+            some = mask.any(1)  # where no learned language is written so, a run speaks for none
+            best = np.where(mask, score, -np.inf).max(1, where=some[:, None], initial=-np.inf)
+            own = np.where(mask, np.maximum(score - np.where(some, best, 0)[:, None], FLOOR), FLOOR)
+            own[~some] = 0
+            np.add.at(total, np.array(of[start:end]), own)
         self.scores[first:need] = np.maximum(total, FLOOR)
 
     def label(self, texts: list[list[str]], penalty: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -243,61 +273,96 @@ def viterbi(scores: list[np.ndarray], penalty: float, n: int) -> list[np.ndarray
     flat = np.concatenate([scores[i] for i in order])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     value = flat[starts[: active[0]]].astype(np.float64)
-    stays, bests = [None], [None]
+    # of each word whether a label was reached by staying, and the label to switch from
+    stays, bests = np.empty(flat.shape, bool), np.empty(len(flat), np.int32)
     rows = np.arange(active[0])
-    for t in range(1, steps):
+    cut = max(1, int(np.searchsorted(-active, -TOGETHER, side="right")))
+    longest = range(active[cut] if cut < steps else 0)
+    for t in range(1, cut):
         a = active[t]
-        now = value[:a]
+        now, at = value[:a], starts[:a] + t
         best = now.argmax(1)
         switched = (now[rows[:a], best] - penalty)[:, None]
-        stays.append(now >= switched)
-        bests.append(best)
+        stays[at], bests[at] = now >= switched, best
         np.maximum(now, switched, out=now)
-        now += flat[starts[:a] + t]
+        now += flat[at]
+    for k in longest:
+        value[k] = _forth(flat, stays, bests, starts[k] + cut, starts[k] + sizes[k], value[k].tolist(), penalty)
     labels = np.empty(len(flat), np.int64)
     current = value.argmax(1)
-    for t in range(steps - 1, -1, -1):
+    for k in longest:
+        current[k] = _back(labels, stays, bests, starts[k] + cut, starts[k] + sizes[k], int(current[k]))
+    for t in range(cut - 1, -1, -1):
         a = active[t]
-        labels[starts[:a] + t] = current[:a]
+        at = starts[:a] + t
+        labels[at] = current[:a]
         if t:
-            current[:a] = np.where(stays[t][rows[:a], current[:a]], current[:a], bests[t])
+            current[:a] = np.where(stays[at, current[:a]], current[:a], bests[at])
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(scores)
     for k, i in enumerate(order):
         out[i] = labels[starts[k] : starts[k] + sizes[k]]
     return out
 
 
+def _forth(flat: np.ndarray, stays: np.ndarray, bests: np.ndarray, start: int, end: int, value: list[float], penalty: float) -> list[float]:
+    """Viterbi's steps in the words ``start`` to ``end`` of one text, in blocks of bounded size."""
+    for low in range(start, end, 4096):
+        stayed, chosen = [], []
+        for row in flat[low : min(end, low + 4096)].tolist():
+            most = max(value)
+            chosen.append(value.index(most))
+            switched = most - penalty
+            stayed.append([x >= switched for x in value])
+            value = [(x if x >= switched else switched) + y for x, y in zip(value, row, strict=True)]
+        stays[low : low + len(chosen)], bests[low : low + len(chosen)] = stayed, chosen
+    return value
+
+
+def _back(labels: np.ndarray, stays: np.ndarray, bests: np.ndarray, start: int, end: int, current: int) -> int:
+    """Label the words ``end`` to ``start`` of one text, that ends in ``current``; the label before them."""
+    for low in reversed(range(start, end, 4096)):
+        high = min(end, low + 4096)
+        own = []
+        for stayed, best in zip(reversed(stays[low:high].tolist()), reversed(bests[low:high].tolist()), strict=True):
+            own.append(current)
+            if not stayed[current]:
+                current = best
+        labels[low:high] = own[::-1]
+    return current
+
+
 def predict(df: DataFrame, text_col: str, model: Model, *, penalty: float = SWITCH_PENALTY, pred: str = "lang_pred", score: str = "score", spans: str | None = None) -> DataFrame:
     """``df`` with a language, the share of letters in its spans and, under the name ``spans``, the spans themselves.
 
     A null text, one without letters, and any text if nothing was learned get ``und`` and 0. Spans are
-    ``struct<start, end, lang>`` in code points, end exclusive. Columns of the same names are replaced; rows are
-    neither lost nor compared, so ids may be null or repeated.
+    ``struct<start, end, lang>`` in code points, end exclusive, from letter to letter; asking for them changes no
+    prediction. Columns of the same names (in any case) are replaced; rows are neither lost nor compared, so ids may
+    be null or repeated.
     """
     spark = df.sparkSession
-    kept = [c for c in df.columns if c not in (pred, score, spans)]
+    made = {c.lower() for c in (pred, score, spans) if c}
+    kept = [c for c in df.columns if c.lower() not in made]
     shipped = spark.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[f"`{c}`" for c in kept]).schema)
     schema = f"{fields}, `{pred}` string, `{score}` double" + (f", `{spans}` array<struct<start:bigint,end:bigint,lang:string>>" if spans else "")
     at = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scorer = Scorer(shipped.value)
         langs = scorer.model.langs
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, at, 2048):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             preds, scores, found = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
             if langs:
-                places = [[(m.start(), m.end(), m[0]) for m in _WORDS.finditer(t)] for t in texts] if spans else None
-                parts = [[p for _, _, p in x] for x in places] if spans else [pieces(t) for t in texts]
-                labels, letters = scorer.label(parts, penalty)
+                labels, letters = scorer.label([pieces(t) for t in texts], penalty)
                 for i, (own, weight) in enumerate(zip(labels, letters, strict=True)):
                     if total := int(weight.sum()):
                         sums = np.bincount(own[own >= 0], weights=weight[own >= 0], minlength=len(langs))
                         best = int(sums.argmax())
                         preds[i], scores[i] = langs[best], float(sums[best] / total)
                         if spans:
-                            found[i] = _merged(places[i], own, langs)
+                            found[i] = _merged(texts[i], own, langs)
             columns = [*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
             names = [*kept, pred, score]
             if spans:
@@ -308,17 +373,16 @@ def predict(df: DataFrame, text_col: str, model: Model, *, penalty: float = SWIT
     return df.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)
 
 
-_WORDS = regex.compile(r"[\p{L}\p{M}]{1,48}")
-
-
-def _merged(places, labels, langs) -> list[dict]:
+def _merged(text: str, labels: np.ndarray, langs: tuple[str, ...]) -> list[dict]:
+    """Neighbouring pieces of one language as a span."""
     out: list[dict] = []
-    for (start, end, _), k in zip(places, labels, strict=True):
+    for (start, end), k in zip(places(text), labels.tolist(), strict=True):
         if k >= 0:
+            runs = [m.span() for m in _LETTERS.finditer(text, start, end)]
             if out and out[-1]["lang"] == langs[k]:
-                out[-1]["end"] = end
+                out[-1]["end"] = runs[-1][1]
             else:
-                out.append({"start": start, "end": end, "lang": langs[k]})
+                out.append({"start": runs[0][0], "end": runs[-1][1], "lang": langs[k]})
     return out
 
 

@@ -26,9 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weir.llm.bpe import slices
 from weir.llm.components import components
-from weir.llm.shared import small_or_not, written
+from weir.llm.shared import release, slices, small_or_not, written
 
 WORDS = 5
 SIMILAR = 75  # percent
@@ -147,8 +146,9 @@ def sketches(rows: DataFrame) -> DataFrame:
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         hashes = WordHashes()
-        for batch in slices(batches):
+        for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text").to_pylist(), hashes)
             full = [i for i, s in enumerate(sets) if len(s)]
             signatures = _superminhash_in_blocks([sets[i] for i in full])
@@ -175,8 +175,9 @@ def full_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = keyed.join(small_or_not(wanted), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         hashes = WordHashes()
-        for batch in slices(batches, 256):
+        for batch in slices(batches, "text", 256):
             sets = [s for s in shingle_sets(batch.column("text").to_pylist(), hashes) if len(s)]
             yield pa.RecordBatch.from_pydict({"node": pa.array([node_of(s) for s in sets], pa.int64()), "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
 
@@ -294,19 +295,25 @@ def group(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def deduplicated(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``df`` with one row of each group, with all its columns.
+    """``df`` with one row of each group, with all its columns, whatever their names.
 
     It is the row of the smallest id; of several with that id, one with the smallest hash of its text. Documents
     without words all stay, but equal rows of one id as one.
     """
-    found = written(_grouped(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), "grouped")
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
+    names = df.columns
+    # the columns' own names could clash with those that are joined to them
+    own = df.toDF(*[f"c{i}" for i in range(len(names))])
+    doc, text = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
+    found = written(_grouped(own.select(doc.alias("doc_id"), text.alias("text"))), "grouped")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("doc"), F.col("text_hash").alias("hash")).distinct()
     several = found.where("kept").groupBy("doc_id", "comp").agg(F.min("text_hash").alias("chosen"), F.count("*").alias("n")).where("n > 1")
-    several = written(found.where("kept").join(several.select(F.col("doc_id").alias("d"), F.col("comp").alias("c"), "chosen"), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("comp").eqNullSafe(F.col("c"))).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "chosen").distinct(), "several")
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_hash"))
-    left = df.join(small_or_not(written(gone, "gone")), same, "left_anti")
-    if several.isEmpty():
-        return left
-    alone = left.join(small_or_not(several), same, "left_anti")
-    chosen = left.join(small_or_not(several), same).where(F.col("_hash") == F.col("chosen")).dropDuplicates(["_doc", "_hash"])
-    return alone.unionByName(chosen.drop("_doc", "_hash", "chosen"))
+    several = several.select(F.col("doc_id").alias("doc"), F.col("comp").alias("of"), "chosen")
+    several = found.where("kept").join(several, F.col("doc_id").eqNullSafe(F.col("doc")) & F.col("comp").eqNullSafe(F.col("of")))
+    several = written(several.select("doc", F.col("text_hash").alias("hash"), "chosen").distinct(), "several")
+    same = doc.eqNullSafe(F.col("doc")) & (F.xxhash64(text) == F.col("hash"))
+    left = own.join(small_or_not(written(gone, "gone")), same, "left_anti")
+    if not several.isEmpty():
+        alone = left.join(small_or_not(several), same, "left_anti")
+        chosen = left.join(small_or_not(several), same).where(F.col("hash") == F.col("chosen")).dropDuplicates(["doc", "hash"])
+        left = alone.unionByName(chosen.drop("doc", "hash", "chosen"))
+    return left.toDF(*names)

@@ -15,7 +15,6 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from operator import itemgetter
 
 import pyarrow as pa
@@ -24,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.bpe import PRETOKEN_PATTERN, TrieBpe, default_vocabulary, slices
+from weir.llm.bpe import PRETOKEN_PATTERN, TrieBpe, default_vocabulary
+from weir.llm.shared import held, slices
 
 END_ID = 0
 CAPACITY = 1024
@@ -55,9 +55,8 @@ class PieceBpe(TrieBpe):
         return out
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str) -> TrieBpe:
-    return PieceBpe(path)
+    return held(("packing", path), lambda: PieceBpe(path))
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -186,7 +185,7 @@ def pack(df: DataFrame, id_col: str, text_col: str, *, capacity: int = CAPACITY,
             return pa.RecordBatch.from_pydict(made)
 
         doc_type = None
-        for batch in slices(batches):
+        for batch in slices(batches, "text"):
             doc_type = batch.schema.field("doc_id").type
             for doc, ids in zip(batch.column("doc_id").to_pylist(), bpe.encode_batch(batch.column("text").to_pylist()), strict=True):
                 ids += end
