@@ -97,18 +97,18 @@ def zoomeye_query(domain: Column, subdomains: bool) -> Column:
     return F.base64(F.encode(F.concat(F.lit("site:*." if subdomains else "site:"), domain), "UTF-8"))
 
 
-def mine_urls(df: DataFrame, domain: str, *, subdomains: bool = False, text_col: str = "text") -> DataFrame:
-    """Distinct URLs of a domain in free text, cut at white space, quotes and commas, closing signs trimmed."""
+def mine_urls(df: DataFrame, domain: str | Column, *, subdomains: bool = False, text_col: str = "text") -> DataFrame:
+    """Distinct URLs of a domain (one, or each row's own) in free text, cut at white space, quotes and commas, closing signs trimmed."""
     token = F.explode(F.split(text_col, r"[\s\"',]+"))
     found = df.select(*[c for c in df.columns if c != text_col], token.alias("url")).where(F.rlike("url", F.lit("^(?i)https?://")))
     found = found.withColumn("url", F.regexp_replace("url", r"[.)\]}>;:!?`]+$", ""))
     p = parts(F.col("url"))
-    host, wanted = host_key(p["host"]), domain.lower().rstrip(".")
-    same = (host == wanted) | F.endswith(host, F.lit(f".{wanted}")) if subdomains else host == wanted
+    host, wanted = host_key(p["host"]), host_key(F.lit(domain) if isinstance(domain, str) else domain)
+    same = (host == wanted) | F.endswith(host, F.concat(F.lit("."), wanted)) if subdomains else host == wanted
     return found.where(p["ok"] & F.coalesce(same, F.lit(False))).distinct()
 
 
-def github(df: DataFrame, domain: str, *, subdomains: bool = False) -> DataFrame:
+def github(df: DataFrame, domain: str | Column, *, subdomains: bool = False) -> DataFrame:
     matches = F.explode(F.from_json("body", "items array<struct<text_matches:array<struct<fragment:string>>>>")["items"])
     texts = df.select(*_others(df), matches.alias("item")).select(*_others(df), F.explode("item.text_matches.fragment").alias("text")).where("text IS NOT NULL")
     return mine_urls(texts, domain, subdomains=subdomains)
