@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +24,16 @@ def cdx_timestamp(text: Column, end: bool = False) -> Column:
     return F.when(ok, F.concat(digits, F.substring(rest, n + 1, F.lit(14) - n)))
 
 
+def cdx_time(text: str, end: bool = False) -> str | None:
+    """``cdx_timestamp`` of one text, on the driver."""
+    digits = re.sub("[^0-9]", "", text)
+    if len(digits) not in (4, 6, 8, 14) or not re.fullmatch(r"[0-9][0-9 :/TZ.-]*", text) or digits[:4] < "1996":
+        return None
+    if not (len(digits) < 6 or "01" <= digits[4:6] <= "12") or not (len(digits) < 8 or "01" <= digits[6:8] <= "31"):
+        return None
+    return digits + ("00001231235959" if end else "00000101000000")[len(digits) :]
+
+
 def target_host(text: Column) -> Column:
     """The host of a target as users write it: a host, a host with a path, or a URL; null if there is none."""
     t = F.trim(text)
@@ -90,6 +101,16 @@ def preview(text: Column, size: int = 100) -> Column:
     return F.when(F.octet_length(text) <= size, text).otherwise(F.regexp_replace(F.make_valid_utf8(F.decode(cut, "UTF-8")), "�+$", ""))
 
 
+#: Terminal colours by the first digit of a status.
+COLOURS = {"2": 32, "3": 33, "4": 31, "5": 35}
+
+
+def coloured(status: Column) -> Column:
+    """A status text for a terminal; others stay as they are."""
+    code = F.try_element_at(F.create_map(*[F.lit(x) for k, v in COLOURS.items() for x in (k, v)]), F.substring(status, 1, 1))
+    return F.coalesce(F.concat(F.lit("\x1b["), code.cast("string"), F.lit("m"), status, F.lit("\x1b[0m")), status)
+
+
 def fingerprint(fields: list) -> str:
     """SHA-256 over fields with their lengths before them, so that no two lists of fields collide; lists by count."""
     digest = hashlib.sha256()

@@ -170,7 +170,8 @@ def parts(url: Column, *, native: bool = False) -> Column:
 
 
 def origin(p: Column) -> Column:
-    return F.concat(p["scheme"], F.lit("://"), p["host"], F.coalesce(F.concat(F.lit(":"), p["port"]), F.lit("")))
+    """Scheme, host (empty, if there is none) and port."""
+    return F.concat(p["scheme"], F.lit("://"), F.coalesce(p["host"], F.lit("")), F.coalesce(F.concat(F.lit(":"), p["port"]), F.lit("")))
 
 
 def rebuilt(p: Column, path: Column, query: Column) -> Column:

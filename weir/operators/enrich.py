@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -11,9 +12,9 @@ from pyspark.sql import types as T
 
 from weir.functions.urls import is_http
 from weir.operators.attribution import keep_status
-from weir.operators.filters import UrlFilter, shown_status, status_filter
+from weir.operators.filters import shown_status, status_filter
 
-#: Larger bodies are cut before they are parsed.
+#: Larger bodies are cut to so many bytes before they are parsed.
 BODY_BYTES = 10 << 20
 
 
@@ -74,6 +75,11 @@ def links_of(url: str, html: str | None) -> list[str]:
     return out
 
 
+def _cut(html: Column) -> Column:
+    short = F.make_valid_utf8(F.decode(F.substring(F.encode(html, "UTF-8"), 1, BODY_BYTES), "UTF-8"))
+    return F.when(F.octet_length(html) <= BODY_BYTES, html).otherwise(short)
+
+
 def extract_links(pages: DataFrame, *, native: bool = False) -> DataFrame:
     """``url, link`` of ``url, html`` and, where there are such columns, ``http_status, content_type``.
 
@@ -86,7 +92,7 @@ def extract_links(pages: DataFrame, *, native: bool = False) -> DataFrame:
     if "content_type" in pages.columns:
         rows = rows.where(is_html_like(F.col("content_type")))
     if native:
-        href = F.explode(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*?href="([^"]*)"'), F.lit(1)))
+        href = F.explode(F.regexp_extract_all(_cut(F.col("html")), F.lit(r'<a\s[^>]*?href="([^"]*)"'), F.lit(1)))
         hrefs = rows.select("url", F.regexp_extract("url", r"^(https?://[^/?#]+)", 1).alias("origin"), href.alias("href")).where(is_fetchable(F.col("href")))
         link = F.when(F.startswith("href", F.lit("/")), F.concat("origin", "href")).when(is_http(F.col("href")), F.col("href"))
         return hrefs.select("url", link.alias("link")).where("link IS NOT NULL")
@@ -97,15 +103,18 @@ def extract_links(pages: DataFrame, *, native: bool = False) -> DataFrame:
 
         return pd.Series([links_of(u, b) if u is not None else [] for u, b in zip(urls, bodies, strict=True)])
 
-    return rows.select("url", F.explode(links("url", F.substring("html", 1, BODY_BYTES))).alias("link"))
+    return rows.select("url", F.explode(links("url", _cut(F.col("html")))).alias("link"))
 
 
-def enrich(urls: DataFrame, *, probes: DataFrame | None = None, pages: DataFrame | None = None, include=(), exclude=(), link_filter: UrlFilter | None = None) -> DataFrame:
-    """``url, status``: checked URLs (all, if nothing is checked) and the links found on them, one row for each URL."""
+def enrich(urls: DataFrame, *, probes: DataFrame | None = None, pages: DataFrame | None = None, include=(), exclude=(), accept: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``url, status``: checked URLs (all, if nothing is checked) and the links found on them, one row for each URL.
+
+    ``accept`` makes of found links (a table of ``url``) those that count, by the rules of the primary rows.
+    """
     base = check_status(urls, probes, include, exclude) if probes is not None else urls.select("url").distinct().withColumn("status", F.lit(None).cast("string"))
     if pages is None:
         return keep_status(base)
     links = extract_links(pages.join(urls.select("url").distinct(), "url", "left_semi")).select(F.col("link").alias("url"))
-    if link_filter is not None:
-        links = links.where(link_filter.column(F.col("url")))
-    return keep_status(base.unionByName(links.withColumn("status", F.lit(None).cast("string"))))
+    if accept is not None:
+        links = accept(links)
+    return keep_status(base.unionByName(links.select("url", F.lit(None).cast("string").alias("status"))))

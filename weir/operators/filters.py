@@ -15,17 +15,30 @@ from weir.functions.urls import extension
 #: Extensions by family.
 FAMILIES = {
     "images": (
-        "png jpg jpeg gif svg webp bmp ico tiff tif heic heif raw psd ai eps avif jfif jp2 jpx apng cr2 nef orf arw dng webm pgm pbm ppm pnm exr xcf pcx"
-        " tga emf wmf jxr hdp wdp cur dcm wbmp j2k art jng 3fr ari srf sr2 bay crw kdc erf mrw rw2 pef dicom djvu fpx hdr mng ora pic rgb rgba xbm xpm"
-        " dpx fits flif img mpo psb"
-    ).split(),
-    "fonts": "ttf otf woff woff2 eot fon fnt svg ttc dfont pfa pfb".split(),
-    "documents": "pdf doc docx xls xlsx ppt pptx txt csv rtf odt ods odp epub mobi azw3 fb2 djvu epub3 xps".split(),
-    "audio": "mp3 wav flac aac ogg wma m4a opus aiff alac dsd dff dsf pcm aifc au snd caf ra ram".split(),
-    "videos": "mp4 mkv avi mov wmv flv webm mpeg mpg 3gp 3g2 m4v f4v f4p f4a f4b asf rmvb rm dat ts vob".split(),
-    "js": "js ts jsx tsx mjs cjs vue json coffee es6 es svelte astro njk map".split(),
-    "style": "css scss sass less stylus postcss pcss cssm cssx cssb".split(),
-}
+        "png", "jpg", "jpeg", "gif", "svg", "webp", "bmp", "ico", "tiff", "tif", "heic", "heif", "raw", "psd", "ai", "eps", "avif", "jfif", "jp2", "jpx", "apng",
+        "cr2", "nef", "orf", "arw", "dng", "webm", "pgm", "pbm", "ppm", "pnm", "exr", "xcf", "pcx", "tga", "emf", "wmf", "jxr", "hdp", "wdp", "cur", "dcm", "wbmp",
+        "j2k", "art", "jng", "3fr", "ari", "srf", "sr2", "bay", "crw", "kdc", "erf", "mrw", "rw2", "pef", "dicom", "djvu", "fpx", "hdr", "mng", "ora", "pic", "rgb",
+        "rgba", "xbm", "xpm", "dpx", "fits", "flif", "img", "mpo", "psb",
+    ),
+    "fonts": (
+        "ttf", "otf", "woff", "woff2", "eot", "fon", "fnt", "svg", "ttc", "dfont", "pfa", "pfb",
+    ),
+    "documents": (
+        "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "txt", "csv", "rtf", "odt", "ods", "odp", "epub", "mobi", "azw3", "fb2", "djvu", "epub3", "xps",
+    ),
+    "audio": (
+        "mp3", "wav", "flac", "aac", "ogg", "wma", "m4a", "opus", "aiff", "alac", "dsd", "dff", "dsf", "pcm", "aifc", "au", "snd", "caf", "ra", "ram",
+    ),
+    "videos": (
+        "mp4", "mkv", "avi", "mov", "wmv", "flv", "webm", "mpeg", "mpg", "3gp", "3g2", "m4v", "f4v", "f4p", "f4a", "f4b", "asf", "rmvb", "rm", "dat", "ts", "vob",
+    ),
+    "js": (
+        "js", "ts", "jsx", "tsx", "mjs", "cjs", "vue", "json", "coffee", "es6", "es", "svelte", "astro", "njk", "map",
+    ),
+    "style": (
+        "css", "scss", "sass", "less", "stylus", "postcss", "pcss", "cssm", "cssx", "cssb",
+    ),
+}
 _EXCLUDING = ("images", "fonts", "documents", "videos", "audio")
 _INCLUDING = ("js", "style", "fonts", "documents", "videos", "audio", "images")
 PRESETS = {"no-resources": ((), tuple(FAMILIES))} | {f"no-{f}": ((), (f,)) for f in _EXCLUDING} | {f"only-{f}": ((f,), ()) for f in _INCLUDING}
@@ -111,6 +124,7 @@ class CaptureFilter:
         return [] if dialect == CLASSIC else [name for name in ("status", "mime") if len(getattr(self, name)) > 1]
 
     def column(self, ts: Column, status: Column, mime: Column, dialect: str = CLASSIC) -> Column:
+        """The decision as one expression that scans take over: null, where a value that it needs is unknown, drops a row like false."""
         keep = F.lit(True)
         if self.start:
             keep &= ts >= self.start
@@ -125,7 +139,7 @@ class CaptureFilter:
                 keep &= _matches(col, included, dialect)
             if excluded:
                 keep &= ~_matches(col, excluded, dialect)
-        return F.coalesce(keep, F.lit(False))
+        return keep
 
     def query_params(self, dialect: str) -> str:
         """The same as an index's URL parameters."""

@@ -32,9 +32,8 @@ def chosen_view(host: bool, path: bool, param: bool) -> str | None:
 def merge_endpoints(df: DataFrame, url_col: str = "url", *, native: bool = False) -> DataFrame:
     """One URL for each scheme, host, port and path, with the parameters of all.
 
-    A single URL stays as it is. Of several the first in byte order is the base; tokens stand in the order of their
-    first appearance and only once; without any the base's query is gone unless it is the base itself. What isn't a
-    URL stays. Tokens are made distinct before they are gathered, so a hot endpoint moves its distinct tokens only.
+    A single URL stays as it is. Of several the first in byte order is the base, in standard spelling; tokens stand in
+    the order of their first appearance and only once; without any the base keeps its own query. What isn't a URL stays. Tokens are made distinct before they are gathered, so a hot endpoint moves its distinct tokens only.
     """
     urls = df.select(F.col(url_col).alias("url")).distinct().withColumn("p", parts(F.col("url"), native=native))
     keyed = urls.withColumn("key", F.when(F.col("p.ok"), F.concat(origin(F.col("p")), F.col("p.path"))).otherwise(F.col("url")))
@@ -44,7 +43,7 @@ def merge_endpoints(df: DataFrame, url_col: str = "url", *, native: bool = False
     gathered = first.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("tokens"))
     p = F.col("base.p")
     query = F.array_join(F.transform("tokens", lambda t: t["token"]), "&")
-    merged = F.when((F.col("n") == 1) | F.col("tokens").isNull() | ~p["ok"], F.col("base.url")).otherwise(rebuilt(p, p["path"], query))
+    merged = F.when((F.col("n") == 1) | ~p["ok"], F.col("base.url")).otherwise(rebuilt(p, p["path"], F.coalesce(query, p["query"])))
     return base.join(gathered, "key", "left").select(merged.alias("url"))
 
 
