@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import threading
 import uuid
+from concurrent.futures import ThreadPoolExecutor, wait
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def collect(spark: SparkSession, scans: dict[str, DataFrame], path: str, max_time: float = 0) -> DataFrame:
-    """``url, source, kind`` of scans written one after the other under ``path``, each in a folder of its own.
+def collect(spark: SparkSession, scans: dict[str, DataFrame], path: str, max_time: float = 0, parallel: int = 5) -> DataFrame:
+    """``url, source, kind`` of scans written under ``path``, each in a folder of its own, ``parallel`` at a time.
 
-    With ``max_time`` seconds over, the running scan's jobs are cancelled and no further one begins; cancelled and
-    skipped scans, and those that fail, give a row of kind ``partial`` or ``error`` instead. A folder appears only with
-    its scan complete, so no part of a cancelled scan is read.
+    With ``max_time`` seconds over, or at a first interrupt, running scans' jobs are cancelled and no further one
+    begins; cancelled and skipped scans, and those that fail, give a row of kind ``partial`` or ``error`` instead. A
+    second interrupt ends the run. A folder appears only with its scan complete, so no part of a cancelled one is read.
     """
     group = f"weir-{uuid.uuid4().hex}"
     context = spark.sparkContext
@@ -24,26 +25,34 @@ def collect(spark: SparkSession, scans: dict[str, DataFrame], path: str, max_tim
         over.set()
         context.cancelJobGroup(group)
 
+    def land(number: int, name: str, scan: DataFrame) -> tuple[str | None, str | None]:
+        if over.is_set():
+            return None, "partial"
+        try:
+            context.setJobGroup(group, "scans", interruptOnCancel=True)
+            scan.select("url", F.lit(name).alias("source"), F.lit("url").alias("kind")).write.mode("overwrite").parquet(f"{path}/scan={number}")
+            return f"{path}/scan={number}", None
+        except Exception:  # noqa: BLE001  one source's failure must not sink the run; it is reported as a row
+            return None, "partial" if over.is_set() else "error"
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+
     timer = threading.Timer(max_time, stop) if max_time > 0 else None
-    context.setJobGroup(group, "scans", interruptOnCancel=True)
-    landed, notes = [], []
     if timer:
         timer.start()
-    try:
-        for k, (name, scan) in enumerate(scans.items()):
-            if over.is_set():
-                notes.append((None, name, "partial"))
-                continue
-            try:
-                scan.select("url", F.lit(name).alias("source"), F.lit("url").alias("kind")).write.mode("overwrite").parquet(f"{path}/scan={k}")
-                landed.append(f"{path}/scan={k}")
-            except Exception:  # noqa: BLE001  one source's failure must not sink the run; it is reported as a row
-                notes.append((None, name, "partial" if over.is_set() else "error"))
-    finally:
-        if timer:
-            timer.cancel()
-        context.setLocalProperty("spark.jobGroup.id", None)
-    out = spark.createDataFrame(notes, "url string, source string, kind string")
-    for folder in landed:
-        out = out.unionByName(spark.read.schema("url string, source string, kind string").parquet(folder))
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        running = {name: pool.submit(land, k, name, scan) for k, (name, scan) in enumerate(scans.items())}
+        try:
+            wait(running.values())
+        except KeyboardInterrupt:
+            stop()
+            wait(running.values())
+        finally:
+            if timer:
+                timer.cancel()
+    ended = {name: task.result() for name, task in running.items()}
+    out = spark.createDataFrame([(None, name, kind) for name, (_, kind) in ended.items() if kind], "url string, source string, kind string")
+    for folder, _ in ended.values():
+        if folder:
+            out = out.unionByName(spark.read.schema("url string, source string, kind string").parquet(folder))
     return out
