@@ -17,7 +17,7 @@ from weir.sources import files as fi
 from weir.sources import recorded as rec
 
 BASE = "https://example.com/"
-SET = [BASE + x for x in "index.html script.js style.css image.png document.pdf font.woff2 video.mp4 admin/login.php api/v1/users?id=123 very/long/path/to/resource/file.html .git/config".split()]
+SET = [BASE + x for x in "home.htm lib.js theme.css pic.png paper.pdf face.woff2 film.mp4 staff/door.php v2/items?id=9 a/b/c/d/e/page.htm .git/HEAD".split()]
 
 
 @pytest.fixture(scope="module")
@@ -30,8 +30,8 @@ def urls(df):
 
 
 @pytest.mark.parametrize("spec,n", [
-    (fl.UrlFilter(extensions=("js", "php")), 2), (fl.UrlFilter(exclude_extensions=("js", "css", "png")), 8), (fl.UrlFilter(patterns=("admin", "api")), 2),
-    (fl.UrlFilter(exclude_patterns=("admin", ".git")), 9), (fl.UrlFilter(), 11),
+    (fl.UrlFilter(extensions=("js", "php")), 2), (fl.UrlFilter(exclude_extensions=("js", "css", "png")), 8), (fl.UrlFilter(patterns=("staff", "v2/")), 2),
+    (fl.UrlFilter(exclude_patterns=("staff", ".git")), 9), (fl.UrlFilter(), 11),
 ])
 def test_filters(frame, spec, n):
     assert frame(SET).where(spec.column(F.col("url"))).count() == n
@@ -43,7 +43,7 @@ def test_lengths_are_bytes_and_inclusive(frame):
 
 
 def test_extension_of_strings_that_are_no_urls(frame):
-    rows = ["script.js", "/path/to/image.png", "style.css", "readme.txt", "no_extension", "image.png?version=1"]
+    rows = ["a.js", "/x/y/b.png", "c.css", "d.txt", "bare", "e.png?v=1"]
     assert frame(rows).where(fl.UrlFilter(extensions=("js", "png")).column(F.col("url"))).count() == 3
 
 
@@ -140,7 +140,7 @@ def test_links(spark):
 def test_enriched_rows_keep_a_status(spark, frame):
     probes = spark.createDataFrame([("https://e.com/a", 200)], "url string, http_status int")
     pages = spark.createDataFrame([("https://e.com/a", "<a href='/a'><a href='/b.js'><a href='/c'>")], "url string, html string")
-    out = {r.url: r.status for r in en.enrich(frame(["https://e.com/a"]), probes=probes, pages=pages, link_filter=fl.UrlFilter(exclude_extensions=("js",))).collect()}
+    out = {r.url: r.status for r in en.enrich(frame(["https://e.com/a"]), probes=probes, pages=pages, accept=lambda links: links.where(fl.UrlFilter(exclude_extensions=("js",)).column(F.col("url")))).collect()}
     assert out == {"https://e.com/a": "200 OK", "https://e.com/c": None}
 
 
@@ -156,36 +156,102 @@ def test_text_functions(spark):
 
 def test_readers(spark, tmp_path):
     write = lambda name, data: (tmp_path / name).write_bytes(data) and str(tmp_path / name)
-    text = write("urls.txt", b"https://e.com/a\n\n# no\nhttp://e.com/b\r\nnot-a-url\nhttps://e.com/\xff\xfe\n")
+    text = write("pool.txt", b"https://e.com/a\n\n# no\nhttp://e.com/b\r\nftp://e.com/\nhttps://e.com/\xff\xfe\n")
     warc = write("x.warc", b"WARC/1.0\nwarc-target-uri: https://e.com/1\nWARC-Target-URI: https://e.com/with space\nhttps://e.com/2\nhttp://e.com/3\n")
-    team = b"https://example.com/page1\n2023-01-01 12:00:00 http://example.org/page2\n# Comment\nhttps://example.net/page3 200 OK\n"
+    team = b"https://e.com/first\nq7|1999 http://e.com/second\n# none\nhttps://e.com/third and more\n"
     packed, odd, named = write("t.gz", gzip.compress(team)), write("urlteam_x", gzip.compress(team)), write("url_team_y", team)
-    assert [len(urls(fi.read_files(spark, [p]))) for p in (text, warc, packed, odd, named)] == [3, 3, 3, 3, 3]
+    plain_gz = write("u.gz", team)  # plain text under a packed name
+    assert [len(urls(fi.read_files(spark, [p]))) for p in (text, warc, packed, odd, named, plain_gz)] == [3, 3, 3, 3, 3, 3]
     assert {r.source for r in fi.read_files(spark, [text, warc]).collect()} == {"file"}
     with pytest.raises(ValueError, match="bzip2"):
         fi.read_urlteam(spark, write("z.bz2", b"BZh9xx"))
-    assert [fi.detect_format(x) for x in ("test.warc", "some_warc_file.dat", "urlteam_data.gz", "url_team_archive.bz2", "data.gz", "urls.txt", "list.list", "unknown_file", "x.warc.gz")] == ["warc", "warc", "urlteam", "urlteam", "urlteam", "text", "text", "text", "urlteam"]
+    with pytest.raises(FileNotFoundError):
+        fi.read_files(spark, [str(tmp_path / "missing.txt")])
+    names = {"a.warc": "warc", "my-warc-dump.bin": "warc", "urlteam-1.gz": "urlteam", "url_team.bz2": "urlteam", "b.gz": "urlteam", "c.txt": "text", "d.list": "text", "e": "text", "a.warc.gz": "urlteam"}
+    assert {x: fi.detect_format(x) for x in names} == names
     assert fi.targets(["https://Example.com/x", "example.com.", "//cdn.example.com/x", "e.com:80/x", ""], "# c\nexample.com\nb.org\n") == ["example.com", "cdn.example.com", "e.com:80", "b.org"]
 
 
-def test_recorded_scans(spark):
-    page = lambda source, n, body, status=200, domain="e.com": {"source": source, "domain": domain, "page_no": n, "http_status": status, "content_type": "text/html", "body": body}
-    records = [page("wayback", 1, "http://e.com/a\nhttp://e.com/b\n\nKEY\n"), page("wayback", 2, "", 503), page("vt", 1, "", 500), page("otx", 1, '{"url_list":[{"url":"http://e.com/a"}]}'), page("otx", 1, "oops", domain="f.com")]
-    rows = rec.scan(spark, records, ["wayback", "vt", "otx"])
+def test_file_caps(spark, tmp_path, monkeypatch):
+    """The first URLs of each file, also where it is read in several splits; and which files a cap cut."""
+    for name, n in (("long", 5000), ("short", 10)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"https://e.com/{name}/{i:05d}\n" for i in range(n)))
+    monkeypatch.setattr(fi, "FILE_URLS", 1200)
+    monkeypatch.setattr(fi, "LEAST_LINE", 0)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        got = urls(fi.read_files(spark, [str(tmp_path / "*.txt")]))
+        report = {r.file.rpartition("/")[2]: (r.urls, r.url_capped, r.byte_capped) for r in fi.file_report(spark, [str(tmp_path / "*.txt")]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [f"https://e.com/long/{i:05d}" for i in range(1200)] + [f"https://e.com/short/{i:05d}" for i in range(10)]
+    assert report == {"long.txt": (1200, True, False), "short.txt": (10, False, False)}
+    monkeypatch.setattr(fi, "FILE_BYTES", 40_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        with pytest.warns(UserWarning, match="long.txt"):
+            cut = urls(fi.read_files(spark, [str(tmp_path / "long.txt")]))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert 1000 <= len(cut) <= 1200
+
+
+def page(source, n, body, status=200, domain="e.com", scope=None):
+    return (source, domain, scope, n, status, "text/html", body)
+
+
+def scanned(spark, tmp_path, pages, sources, domains=("e.com",), **kw):
+    path = f"{tmp_path}/responses"
+    spark.createDataFrame(pages, rec.SCHEMA).write.mode("overwrite").json(path)
+    return rec.scan(rec.responses(spark, path), rec.wanted(spark, list(sources), list(domains), **kw))
+
+
+def test_recorded_scans(spark, tmp_path):
+    pages = [
+        page("wayback", 0, "http://e.com/a\nhttp://e.com/b\n\nKEY\n"), page("wayback", 1, "", 503), page("vt", 0, "", 500),
+        page("otx", 1, '{"url_list":[{"url":"http://e.com/a"}]}', scope="domain"), page("otx", 1, "oops", domain="f.com", scope="domain"),
+        page("arquivo", 0, '{"url":"http://e.com/z"}'), page("arquivo", 1, '{"url":"http://e.com/z"}'), page("arquivo", 2, '{"url":"http://e.com/never"}'),
+    ]
+    rows = scanned(spark, tmp_path, pages, ["wayback", "vt", "otx", "arquivo"], ["e.com", "f.com"])
     stats = {r.name: (r.url_count, r.partial_count, r.error_count) for r in at.source_stats(rows).collect()}
-    assert stats == {"Wayback Machine": (2, 1, 0), "VirusTotal": (0, 0, 1), "OTX": (1, 0, 0)}
-    reader = rec.RecordedReader({"records": "\n".join(map(rec.json.dumps, records))})
-    assert list(reader.pushFilters([rec.EqualTo(("source",), "otx")])) == [] and [p.domain for p in reader.partitions()] == ["e.com", "f.com"]
+    # nothing at all was recorded of f.com but one bad page
+    assert stats == {"Wayback Machine": (2, 1, 1), "VirusTotal": (0, 0, 2), "OTX": (1, 0, 1), "Arquivo.pt": (1, 0, 1)}
     assert rec.label("cc", "CC-MAIN-2026-17") == "CC-MAIN-2026-17" and rec.label("cc", "latest") == "CC (latest)"
 
 
+def test_every_source_by_every_target(spark):
+    rows = rec.wanted(spark, ["cc", "otx", "vt"], ["e.com", "a.e.com", "e.com"], indexes=("latest", "CC-MAIN-2026-17")).collect()
+    assert {tuple(r) for r in rows} == {("cc", i, d) for i in ("latest", "CC-MAIN-2026-17") for d in ("e.com", "a.e.com")} | {("otx", "domain", "e.com"), ("otx", "hostname", "a.e.com"), ("vt", None, "e.com"), ("vt", None, "a.e.com")}
+
+
+def test_a_page_that_wasnt_recorded_counts_as_failed(spark, tmp_path):
+    pages = [page("wayback", 0, "http://e.com/a\n\nKEY"), page("cc", -1, '{"pages": 0}', scope="latest"), page("cc", 0, '{"url":"http://e.com/never"}', scope="latest"), page("github", 1, "{}", 422)]
+    got = {(r.source, r.kind, r.url) for r in scanned(spark, tmp_path, pages, ["wayback", "cc", "github", "urlscan"]).collect()}
+    assert got == {("Wayback Machine", "url", "http://e.com/a"), ("Wayback Machine", "partial", None), ("Urlscan", "error", None)}
+
+
+def test_scans_read_their_own_files_only(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    spark.createDataFrame([page("vt", 0, "x"), page("otx", 1, "y")], rec.SCHEMA).write.parquet(path)
+    plan = rec.responses(spark, path, "parquet").where("source = 'vt'").select("domain")._jdf.queryExecution().toString()
+    assert "EqualTo(source,vt)" in plan and "body" not in plan.partition("ReadSchema")[2]
+
+
 def test_sitemap_walk(spark):
     index = lambda *locs: "<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in locs) + "</sitemapindex>"
     docs = [("https://e.com/s.xml", index("http://e.com/t.xml", "https://e.com/s.xml", "https://other.com/u.xml")), ("http://e.com/t.xml", "<urlset><url><loc>https://e.com/1</loc></url></urlset>"),
-            ("https://other.com/u.xml", "<urlset><url><loc>https://other.com/2</loc></url></urlset>"), ("https://e.com/m.txt", "https://e.com/3\nx\n")]
+            ("https://other.com/u.xml", "<urlset><url><loc>https://other.com/2</loc></url></urlset>"), ("https://e.com/m.txt", "https://e.com/3\nx\nhttps://e.com/4\n")]
     table = spark.createDataFrame(docs, "doc_url string, body string")
-    roots = spark.createDataFrame([("https://e.com/s.xml",), ("https://e.com/m.txt",)], "doc_url string")
-    assert urls(rec.walk_sitemaps(table, roots)) == ["https://e.com/1", "https://e.com/3"]
+    roots = spark.createDataFrame([("e.com", "https://e.com/s.xml"), ("e.com", "https://e.com/m.txt")], "domain string, doc_url string")
+    assert urls(rec.walk_sitemaps(table, roots)) == ["https://e.com/1", "https://e.com/3", "https://e.com/4"]
+    assert urls(rec.walk_sitemaps(table, roots, most=2)) == ["https://e.com/1", "https://e.com/3"]
+    assert urls(rec.walk_sitemaps(table, roots, depth=0)) == ["https://e.com/3", "https://e.com/4"]
+
+
+def test_same_host(spark):
+    pairs = {("https://h/a", "http://H/b"): True, ("http://h:443/", "https://h/"): False, ("https://h:443/", "http://h:80/"): True, ("https://h:8080/", "https://h/"): False, ("x", "x"): False}
+    rows = spark.createDataFrame([(*k,) for k in pairs], "a string, b string").select("a", "b", rec.same_host(F.col("a"), F.col("b")).alias("same"))
+    assert {(r.a, r.b): r.same for r in rows.collect()} == pairs
 
 
 def test_cursors_and_indexes(spark):

@@ -130,12 +130,12 @@ def f_host_subs(spark, sf_dir):
     return ho.host_filter(_urls(spark, sf_dir), ["Example.com."], subdomains=True)
 
 
-@register("j_host_semi", f"SELECT page_id, url FROM pages p WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT {_H} AS host FROM pages WHERE page_id % 7 = 0) t WHERE regexp_extract(p.url, '^https?://([^/?#]*)', 1) IN (t.host, 'www.' || t.host))")
+@register("j_host_semi", _sql(f"SELECT page_id, url FROM pages p WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT {_H} AS host FROM captures WHERE provider = 'Arquivo.pt' AND status = '500') t WHERE regexp_extract(p.url, '^https?://([^/?#]*)', 1) IN (t.host, 'www.' || t.host))"))
 def j_host_semi(spark, sf_dir):
-    """A large target table as an equi semi-join on candidate keys instead of a nested loop."""
+    """Targets from a table, the hosts that one source has failed captures of: an equi semi-join on candidate keys, no nested loop."""
     pages = _pages(spark, sf_dir).select("page_id", "url")
     host = ux.parts(F.col("url"))["host"]
-    targets = pages.where("page_id % 7 = 0").select(host.alias("host")).distinct()
+    targets = captures(spark, sf_dir).where("provider = 'Arquivo.pt' AND status = '500'").select(host.alias("host")).distinct()
     hosts = pages.select(host.alias("h")).distinct().withColumn("host", F.explode(ho.host_candidates(F.col("h"), False)))
     passing = hosts.join(targets, "host", "left_semi").select("h").distinct()
     return pages.withColumn("h", host).join(passing, "h", "left_semi").select("page_id", "url")
@@ -301,34 +301,6 @@ def s_text_urls(spark, sf_dir):
     return de.mine_urls(docs, "e.org")
 
 
-def _decode_query(name: str, bodies: list[str], f, oracle: str) -> None:
-    def query(spark, sf_dir):
-        return f(spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "id int, body string"))
-
-    values = ", ".join(f"({i}, '" + b.replace("'", "''") + "')" for i, b in enumerate(bodies))
-    register(name, f"WITH raw AS (SELECT * FROM (VALUES {values}) AS t(id, body)) {oracle}")(query)
-
-
-_TEXT = ["http://example.com/a\nhttps://example.com/b\n\neJxKEY\n", "<html>oops</html>\nhttp://example.com/real\nnot-a-url\n", ""]
-_decode_query("sc_wayback_decode", _TEXT, de.cdx_text, "SELECT id, trim(u) AS url FROM (SELECT id, unnest(string_split(body, chr(10))) AS u FROM raw) WHERE u LIKE 'http://%' OR u LIKE 'https://%'")
-_decode_query("sc_resume_key", _TEXT, lambda df: df.select("id", de.resume_key(F.col("body")).alias("cursor")), "SELECT id, CASE WHEN id = 0 THEN 'eJxKEY' END AS cursor FROM raw")
-_ND = ['{"url":"http://e.com/1"}\n\njunk\n{"no":1}\n{"url":"ftp://e.com/2"}', '{"url": "https://e.com/3", "more": [1]}']
-_JURL = "json_extract_string(CASE WHEN json_valid(l) THEN l END, '$.url')"
-for _n, _only in (("sc_cc_decode", False), ("sc_arquivo_decode", True)):
-    _where = f"{_JURL} IS NOT NULL" + (f" AND regexp_matches({_JURL}, '^https?://')" if _only else "")
-    _decode_query(_n, _ND, lambda df, only=_only: de.ndjson(df, http_only=only), f"SELECT id, {_JURL} AS url FROM (SELECT id, unnest(string_split(body, chr(10))) AS l FROM raw) WHERE {_where}")
-_json = lambda path: f"SELECT id, u AS url FROM (SELECT id, unnest(CAST(json_extract_string(CASE WHEN json_valid(body) THEN body END, '{path}') AS VARCHAR[])) AS u FROM raw) WHERE u IS NOT NULL AND u <> ''"
-_decode_query("sc_otx_decode", ['{"has_next":true,"url_list":[{"url":"http://e.com/1","httpcode":200},{"url":""},{"domain":"x"}]}', "oops"], de.otx, _json("$.url_list[*].url"))
-_decode_query("sc_vt_decode", ['{"data":[{"type":"url","attributes":{"url":"http://e.com/1"}}],"meta":{"cursor":"C"}}', "{}"], de.virustotal, _json("$.data[*].attributes.url"))
-_decode_query("sc_urlscan_decode", ['{"results":[{"page":{"url":"http://e.com/1","status":"200"},"sort":["2023-04-01","e.com"]}],"has_more":false}'], de.urlscan, _json("$.results[*].page.url"))
-_decode_query("sc_zoomeye_decode", ['{"code":60000,"total":2,"data":[{"url":"http://e.com/1","port":443},{"url":""}]}', '{"code":1,"data":[{"url":"http://e.com/2"}]}'], de.zoomeye, _json("$.data[*].url").replace("FROM raw)", "FROM raw WHERE json_extract_string(body, '$.code') = '60000')"))
-_decode_query("sc_github_decode", ['{"items":[{"text_matches":[{"fragment":"see https://example.com/login and (https://other.test/x)."}]}]}'], lambda df: de.github(df, "example.com"), "SELECT id, 'https://example.com/login' AS url FROM raw")
-_ROBOTS = ["User-agent: *\ndisallow: /a\nDISALLOW: /secret$\nDisallow: /admin/*.php\nDisallow: /\nDisallow: admin\nSitemap : https://e.com/s.xml\nDisallow: /c # note\nAllow: /d\nDisallow: /a"]
-_decode_query("sc_robots_decode", _ROBOTS, lambda df: de.robots(df.withColumns({"proto": F.lit("https"), "domain": F.lit("e.com")})).select("id", "url"), "SELECT id, u AS url FROM raw, (VALUES ('https://e.com/a'), ('https://e.com/secret'), ('https://e.com/s.xml'), ('https://e.com/c')) AS x(u)")
-_MAPS = ['<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://e.com/1</loc><lastmod>x</lastmod></url><url><loc>https://e.com/2</loc></url></urlset>', "<sitemapindex><sitemap><loc> https://e.com/m.xml </loc></sitemap></sitemapindex>", "<html>a & b</html>"]
-_decode_query("sc_sitemap_decode", _MAPS, lambda df: de.sitemap(df.withColumn("doc_url", F.lit("https://e.com/sitemap.xml"))).select("id", "kind", "url"), "SELECT id, kind, u AS url FROM raw JOIN (VALUES (0, 'page', 'https://e.com/1'), (0, 'page', 'https://e.com/2'), (1, 'sitemap', 'https://e.com/m.xml')) AS x(n, kind, u) ON id = n")
-
-
 @register("x_catalog", "SELECT * FROM (VALUES " + ", ".join(f"('{p.name}', '{p.label}', '{p.key}')" for p in PROVIDERS.values()) + ") AS t(id, label, api_key)")
 def x_catalog(spark, sf_dir):
     return spark.createDataFrame([(p.name, p.label, p.key) for p in PROVIDERS.values()], "id string, label string, api_key string")
@@ -349,27 +321,6 @@ def x_run(spark, sf_dir):
     return run(captures(spark, sf_dir).withColumnRenamed("provider", "source"), ["example.com"], o)
 
 
-@register("st_stream_dedup", f"SELECT DISTINCT {_NORMAL} AS url FROM pages")
-def st_stream_dedup(spark, sf_dir):
-    """Every page through a stream with a stateful dedup; the memory sink's table is returned."""
-    import uuid
-
-    from weir.plans.options import ScanOptions
-    from weir.streaming.stream import stream
-
-    table = f"{sf_dir}/pages.parquet"
-    reader = spark.readStream.schema(spark.read.parquet(table).schema)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
-    folder = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
-    # a stream reads folders: of one that holds all tables the one file
-    scans = (reader.parquet(table) if folder else reader.option("pathGlobFilter", "pages.parquet").parquet(sf_dir)).select("url")
-    name = f"weir_stream_{uuid.uuid4().hex}"
-    out = stream(scans, [], ScanOptions(strict=False, normalize=True))
-    query = out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scripts on a domain's hosts in normal form, with the sources that know them, in order."""
     scans = captures(spark, sf_dir).withColumnRenamed("provider", "source")
