@@ -1,5 +1,6 @@
 """Operator 6: every id in one piece, windows within capacity, no padding with cutting, counts against brute force."""
 
+import collections
 import itertools
 import random
 import zlib
@@ -9,6 +10,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from weir.llm import bpe, packing
+from weir.llm.queries import QUERIES
+from weir.llm.shared import table
 
 LIBRARY = Tokenizer.from_file(bpe.default_vocabulary())
 
@@ -32,21 +35,26 @@ def test_two_way_differencing_matches_the_textbook():
 def test_plans_hold_each_token_once(n):
     rng = random.Random(n)
     sizes = [rng.randint(1, 1023) for _ in range(n)]
-    for plan in (packing.plan_cut, packing.plan_whole):
-        windows = plan(sizes, 1024)
+    full, rest = packing.plan_cut(sizes, 1024)
+    assert all(sum(e - s for _, s, e in w) == 1024 for w in full) and sum(e - s for _, s, e in rest) == sum(sizes) % 1024
+    for windows in (full + [rest], packing.plan_whole(sizes, 1024), packing.plan_rest(sizes)):
         parts = sorted(p for w in windows for p in w)
         for i, own in itertools.groupby(parts, key=lambda p: p[0]):
             own = list(own)
             assert own[0][1] == 0 and own[-1][2] == sizes[i] and all(a[2] == b[1] for a, b in itertools.pairwise(own))
         assert len({p[0] for p in parts}) == n
-        loads = [sum(e - s for _, s, e in w) for w in windows]
-        assert all(0 < x <= 1024 for x in loads)
-        if plan is packing.plan_cut:
-            assert all(x & (x - 1) == 0 for x in loads)
+    assert all(0 < sum(e - s for _, s, e in w) <= 1024 for w in packing.plan_whole(sizes, 1024))
+    lengths = [sum(e - s for _, s, e in w) for w in packing.plan_rest(sizes)]
+    assert len(set(lengths)) == len(lengths) and all(x & (x - 1) == 0 for x in lengths)
 
 
-def test_windows_rise_until_none_exceeds():
+def test_windows_rise_until_none_exceeds(monkeypatch):
     assert len(packing.plan_whole([600, 600, 600], 1024)) == 3
+    counts, difference = [], packing.difference
+    monkeypatch.setattr(packing, "difference", lambda sizes, k: counts.append(k) or difference(sizes, k))
+    full, rest = packing.plan_cut([600] * 7, 1024)  # five windows would do, but hold two of them
+    assert counts[0] == 5 and counts[-1] == 7 and counts == sorted(set(counts))
+    assert len(full) == 4 and sum(e - s for _, s, e in rest) == 7 * 600 - 4 * 1024
 
 
 def check(rows, docs):
@@ -66,6 +74,11 @@ def check(rows, docs):
             assert r.offset == at
             at += r.length
         assert at <= 1024 and at & (at - 1) == 0
+    lengths = collections.Counter()
+    for r in rows:
+        lengths[r.sequence_id] += r.length
+    short = collections.Counter(sequence >> 40 for sequence, n in lengths.items() if n < 1024)
+    assert all(n <= 10 for n in short.values())  # a task's last ones
 
 
 def test_query_over_edge_rows(spark):
@@ -78,3 +91,19 @@ def test_query_over_edge_rows(spark):
 def test_repeated_rows_are_packed_as_often(spark):
     df = spark.createDataFrame([(1, "same words")] * 3, "doc_id long, text string")
     assert sum(r.length for r in packing.pack(df, "doc_id", "text").collect()) == 3 * (1 + len(LIBRARY.encode("same words").ids))
+
+
+def test_query_on_a_table(spark):
+    """The ids of the library, and nothing but a task's last tokens in short windows."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    rows = QUERIES["op6_packing"](spark, "/root/testdata/sf0.001").collect()
+    check(rows, [(r.doc_id, r.text) for r in docs.collect()])
+    tasks = {r.sequence_id >> 40 for r in rows}
+    short = sum(r.length for r in rows) - 1024 * len({r.sequence_id for r in rows})
+    assert -short < len(tasks) * 10 * 1024
+
+
+def test_many_tiny_documents_fill_windows(spark):
+    docs = [(i, "a b") for i in range(3000)]
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), "doc_id", "text", block=2).collect()
+    check(rows, docs)

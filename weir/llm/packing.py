@@ -3,11 +3,15 @@
 Every document's ids (with an end-of-document id) give full windows of their own and a tail. Tails are taken in
 blocks, in the order of the scan; a block's tails are split into ``k`` windows by multiway differencing: the two
 partial partitions with the largest spread are merged with opposing imbalances, the fullest window of one with the
-emptiest of the other, until one is left. Its windows are nearly equal. Whenever one exceeds the capacity the window
-count rises: without cutting, the block is split anew into more windows; with cutting, the surplus is cut off, fills
-windows that lack as much, and what is left opens windows whose lengths are powers of two, which need no padding.
+emptiest of the other, until one is left. Its windows are nearly equal. ``k`` begins with as many windows as the
+tokens need; whenever one exceeds the capacity the window count rises and the block is split anew.
 
-No row leaves its task: the plan is one scan without a shuffle, and no block holds more than ``block`` tails.
+Without cutting that is all, and windows may be short of the capacity. With cutting, the fullest windows, as many as
+the tokens fill, are filled up from the emptiest ones, which so dissolve; what is left, less than a window, goes into
+the task's next block. Only a task's last tokens make shorter windows, whose lengths are powers of two.
+
+No row leaves its task: the plan is one scan without a shuffle, and no block holds more than ``block`` tails and a
+window's worth of pieces.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from weir.llm.shared import held, slices
 END_ID = 0
 CAPACITY = 1024
 #: Tails that are split together.
-BLOCK = 512
+BLOCK = 128
 
 
 class PieceBpe(TrieBpe):
@@ -93,49 +97,49 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return windows + [[] for _ in range(k - len(windows))]
 
 
-def plan_whole(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Windows of whole items: the count rises until no window exceeds ``capacity``."""
+def risen(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Windows of whole items, by index: the count rises until no window exceeds ``capacity``."""
     k = -(-sum(sizes) // capacity)
     while True:
         windows = difference(sizes, k)
         over = sum(max(0, sum(sizes[i] for i in w) - capacity) for w in windows)
         if not over:
-            return [[(i, 0, sizes[i]) for i in w] for w in windows if w]
+            return [w for w in windows if w]
         k = min(len(sizes), k + max(1, over // capacity))
 
 
-def plan_cut(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Windows of pieces (item, start, end): all full, but for a few whose lengths are powers of two."""
-    windows = [[(i, 0, sizes[i]) for i in w] for w in difference(sizes, sum(sizes) // capacity)]
-    surplus = [] if windows else [(i, 0, size) for i, size in enumerate(sizes) if size]
-    for window in windows:
-        over = sum(e - s for _, s, e in window) - capacity
-        while over > 0:
-            i, s, e = window.pop()
-            cut = max(s, e - over)
-            surplus.append((i, cut, e))
-            if cut > s:
-                window.append((i, s, cut))
-            over -= e - cut
-    surplus.reverse()
-
-    def fill(window: list, room: int) -> None:
-        while room:
-            i, s, e = surplus.pop()
-            cut = min(e, s + room)
-            window.append((i, s, cut))
-            if cut < e:
-                surplus.append((i, cut, e))
-            room -= cut - s
-
-    for window in windows:
-        fill(window, capacity - sum(e - s for _, s, e in window))
-    rest = sum(e - s for _, s, e in surplus)
-    for bit in reversed(range(rest.bit_length())):
-        if rest >> bit & 1:
-            windows.append([])
-            fill(windows[-1], 1 << bit)
-    return windows
+def plan_whole(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
+    """Windows of whole items (item, 0, its size)."""
+    return [[(i, 0, sizes[i]) for i in w] for w in risen(sizes, capacity)]
+
+
+def _filled(window: list[tuple[int, int, int]], room: int, pieces: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """``window`` with ``room`` tokens more from the end of ``pieces``, the last one cut."""
+    while room:
+        i, start, end = pieces.pop()
+        cut = min(end, start + room)
+        window.append((i, start, cut))
+        if cut < end:
+            pieces.append((i, cut, end))
+        room -= cut - start
+    return window
+
+
+def plan_cut(sizes: list[int], capacity: int) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
+    """Full windows of pieces (item, start, end), and the pieces that are left, less than a window in all."""
+    load = lambda w: sum(sizes[i] for i in w)
+    windows = sorted(risen(sizes, capacity), key=load, reverse=True)
+    whole = sum(sizes) // capacity
+    pieces = [(i, 0, sizes[i]) for w in windows[whole:] for i in reversed(w)]
+    full = [_filled([(i, 0, sizes[i]) for i in w], capacity - load(w), pieces) for w in windows[:whole]]
+    return full, pieces[::-1]
+
+
+def plan_rest(sizes: list[int]) -> list[list[tuple[int, int, int]]]:
+    """Windows of pieces whose lengths are powers of two."""
+    pieces = [(i, 0, size) for i, size in enumerate(sizes) if size][::-1]
+    total = sum(sizes)
+    return [_filled([], 1 << bit, pieces) for bit in reversed(range(total.bit_length())) if total >> bit & 1]
 
 
 def pack(df: DataFrame, id_col: str, text_col: str, *, capacity: int = CAPACITY, cut: bool = True, block: int = BLOCK, vocabulary: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -146,13 +150,13 @@ def pack(df: DataFrame, id_col: str, text_col: str, *, capacity: int = CAPACITY,
     unsigned 32-bit). Each row of the input is packed by itself, so repeated rows are packed as often, and a null
     document id passes through; other columns are left behind; an empty table gives no rows. Sequence ids are
     unique and hold the number of the scan's partition; the same files and session settings give the same ids.
-    With ``cut=False`` tails stay whole and windows may be short of the capacity.
+    Of each task all windows are full but for a few last ones, whose lengths are powers of two. With ``cut=False``
+    tails stay whole and windows may be short of the capacity.
     """
     path = vocabulary or default_vocabulary()
     kind = dict(df.dtypes)[id_col]
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids binary" * keep_ids
     end = END_ID.to_bytes(4, "little")
-    plan = plan_cut if cut else plan_whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(path)
@@ -163,16 +167,23 @@ def pack(df: DataFrame, id_col: str, text_col: str, *, capacity: int = CAPACITY,
         def piece(doc, start, ids, tokens, sequence, offset):
             rows.append((doc, start, len(ids) // 4, zlib.crc32(ids), tokens, sequence, offset, ids if keep_ids else None))
 
-        def flush():
+        def place(windows):
             nonlocal sequence
-            for window in plan([len(t[2]) // 4 for t in tails], capacity):
+            for window in windows:
                 offset = 0
                 for i, s, e in window:
                     doc, start, ids, tokens = tails[i]
                     piece(doc, start + s, ids[4 * s : 4 * e], tokens, sequence, offset)
                     offset += e - s
                 sequence += 1
-            tails.clear()
+
+        def flush(last=False):
+            sizes = [len(t[2]) // 4 for t in tails]
+            windows, rest = plan_cut(sizes, capacity) if cut else (plan_whole(sizes, capacity), [])
+            place(windows)
+            tails[:] = [(tails[i][0], tails[i][1] + s, tails[i][2][4 * s : 4 * e], tails[i][3]) for i, s, e in rest]
+            if last and tails:
+                place(plan_rest([len(t[2]) // 4 for t in tails]))
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) or [()] * 8
@@ -184,7 +195,7 @@ def pack(df: DataFrame, id_col: str, text_col: str, *, capacity: int = CAPACITY,
             rows.clear()
             return pa.RecordBatch.from_pydict(made)
 
-        doc_type = None
+        doc_type, new, held = None, 0, 0
         for batch in slices(batches, "text"):
             doc_type = batch.schema.field("doc_id").type
             for doc, ids in zip(batch.column("doc_id").to_pylist(), bpe.encode_batch(batch.column("text").to_pylist()), strict=True):
@@ -196,11 +207,13 @@ def pack(df: DataFrame, id_col: str, text_col: str, *, capacity: int = CAPACITY,
                     sequence += 1
                 if whole < tokens:
                     tails.append((doc, whole, ids[4 * whole :], tokens))
-                if len(tails) >= block:
+                    new, held = new + 1, held + tokens - whole
+                if new >= block and held >= capacity:
                     flush()
+                    new, held = 0, sum(len(t[2]) // 4 for t in tails)
             yield out()
         if doc_type is not None:
-            flush()
+            flush(last=True)
             yield out()
 
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
