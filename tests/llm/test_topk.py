@@ -47,9 +47,30 @@ def test_far_cells_are_not_sent(spark):
     rng = random.Random(5)
     rows = [(i, [1000.0 * (i % 5 == j) + rng.random() for j in range(5)]) for i in range(2000)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    planned = topk.plan(df, "vec_id", "embedding", query_rows=10)
+    assert planned.share < 0.25 and sum(planned.sent.values()) < 0.25 * len(rows) * len(planned.queries)
     assert result(df, query_rows=10, data_rows=100) == brute(rows)
 
 
+def test_clustered_vectors_are_mostly_ruled_out(spark):
+    """Above one half with the constants of the query."""
+    rng = random.Random(11)
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(30)]
+    rows = [(i, [x + rng.gauss(0, 0.02) for x in centres[i * 7 % 30]]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert topk.plan(df, "vec_id", "embedding").share < 0.5
+    assert result(df) == brute(rows)
+
+
+def test_queries_are_grouped_coarsely_where_nothing_is_ruled_out(spark):
+    rng = random.Random(13)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(40)]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    planned = topk.plan(df, "vec_id", "embedding")
+    assert len(planned.queries) <= topk.MOST_SENT and sum(planned.sent.values()) <= topk.MOST_SENT * len(rows)
+    assert result(df) == brute(rows)
+
+
 def test_oracle(spark):
     assert compare(spark, QUERIES["op10_topk"], ORACLES["op10_topk"])
 

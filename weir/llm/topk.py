@@ -1,16 +1,22 @@
 """Exact top-k search by inner product: a Voronoi kNN join (operator 10).
 
 Vectors get one coordinate more, so that all data vectors have the same length; the greatest inner products then are
-the smallest distances. Data and queries are grouped by their nearest pivots. From small summaries (of each query
-group the radius, of each data cell the k+1 smallest distances of different ids to its pivot) follows, for each query group, a distance
-within which every query of it has k candidates; a data vector is sent to a group only if the triangle inequality
-can't rule it out. Groups are solved locally, in blocks of bounded queries and data, with exact integer scores.
+the smallest distances. Data and queries are grouped by their nearest pivots, about as many as the square root of their
+number. From small summaries (of each query group the radius, of each data cell the k+1 smallest distances of
+different ids to its pivot) follows, for each query group, a distance within which every query of it has k candidates;
+a data vector is sent to a group only if the triangle inequality can't rule it out. Groups are solved locally, in
+blocks of bounded queries and data, with exact integer scores.
+
+Where vectors have no clusters the bounds rule little out, and many groups would be sent nearly all data each. What
+every group needs is counted before anything is sent; if it's too much, queries are grouped more coarsely, at last in
+blocks that memory holds. ``plan`` tells the share that is sent.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,7 +29,9 @@ from weir.llm.shared import written
 
 #: Queries of a block and data rows of a block, about: both are in memory together.
 QUERY_ROWS, DATA_ROWS = 2000, 20_000
-MOST_PIVOTS = 256
+MOST_PIVOTS = 1024
+#: Times that the data may be sent in all, or as often as there are blocks of queries.
+MOST_SENT = 4
 SCALE = 64
 _NO_ID = np.iinfo(np.int64).max  # stands for a null id, after all others
 
@@ -53,9 +61,13 @@ def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return cell, np.sqrt(((x - pivots[cell]) ** 2).sum(1))
 
 
-def _pivots(rows: DataFrame, n: int, dims: int) -> np.ndarray:
-    """``n`` vectors in the order of a hash of their components."""
-    found = rows.select("v").orderBy(F.xxhash64("v"), "v").limit(n).collect()
+def _pivots(rows: DataFrame, count: int, n: int, dims: int) -> np.ndarray:
+    """``n`` different vectors, about, of ``count`` in the order of a hash of their components; one at least."""
+    draw = F.pmod(F.xxhash64("v"), F.lit(1 << 40))
+    one = rows.select("v", draw.alias("draw"))
+    # equal vectors are drawn or left together, so that copies can't take all places
+    found = one.where(F.col("draw") < min(1 << 40, 4 * n * (1 << 40) // count)).distinct().orderBy("draw", "v").limit(n).collect()
+    found = found or one.orderBy("draw", "v").limit(1).collect()
     out = np.zeros((len(found), dims))
     for i, r in enumerate(found):
         out[i, : len(r.v)] = r.v
@@ -113,61 +125,110 @@ def _smallest(placed: DataFrame, k: int) -> dict[int, tuple[np.ndarray, np.ndarr
     return {c: (np.array([f for f, _ in own]), np.array([i for _, i in own], np.int64)) for c, own in out.items()}
 
 
-def search(df: DataFrame, id_col: str, vector_col: str, *, k: int = 20, every: int = 20, query_rows: int = QUERY_ROWS, data_rows: int = DATA_ROWS) -> DataFrame:
-    """``query_id, rank, vec_id, score``: of each row whose id is divisible by ``every`` the ``k`` best other rows.
+def _counted(data: DataFrame, needed: np.ndarray) -> dict[int, int]:
+    """Data rows that each group needs, from cells and distances alone."""
+    shipped = data.sparkSession.sparkContext.broadcast(needed)
 
-    Rows are known by their ids: rows with the query's id aren't its candidates; equal query rows are answered once;
-    repeated candidates count as often as they occur; candidates without an id come last among equal scores. Vectors
-    that are null or hold null or non-finite components take no part; shorter ones end in zeros. Scores are exact
-    while products of vectors stay below 2**53.
-    """
-    spark = df.sparkSession
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = shipped.value
+        sums = np.zeros(len(least), np.int64)
+        for batch in batches:
+            cell, far = np.asarray(batch.column("cell")), np.asarray(batch.column("far"))
+            for g in range(len(least)):
+                sums[g] += np.count_nonzero(far >= least[g][cell])
+        yield pa.RecordBatch.from_pydict({"g": pa.array(range(len(sums)), pa.int32()), "n": pa.array(sums)})
+
+    return {r.g: r.n for r in data.select("cell", "far").mapInArrow(run, "g int, n bigint").groupBy("g").agg(F.sum("n").alias("n")).collect()}
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Where data and queries go."""
+
+    #: ``vec_id, v, cell, far`` of all data and all queries, a query's cell being its group
+    data: DataFrame
+    asked: DataFrame
+    dims: int
+    #: of each group and cell the distance from the cell's pivot from which a data vector may be needed
+    needed: np.ndarray
+    queries: dict[int, int]
+    sent: dict[int, int]
+    rows: int
+
+    @property
+    def share(self) -> float:
+        """Of all pairs of a query and a data row, those that are compared."""
+        return sum(m * self.sent[g] for g, m in self.queries.items()) / (self.rows * sum(self.queries.values()))
+
+
+def plan(df: DataFrame, id_col: str, vector_col: str, *, k: int = 20, every: int = 20, query_rows: int = QUERY_ROWS) -> Plan | None:
+    """Groups of the queries and what data they need; None without queries."""
     rows = written(valid_vectors(df, id_col, vector_col), "vectors")
     is_query = F.coalesce(F.col("vec_id") % every == 0, F.lit(False))
     n, n_queries, dims, longest = rows.agg(
         F.count("*"), F.count_if(is_query), F.coalesce(F.max(F.size("v")), F.lit(0)), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     ).first()
-    schema = "query_id bigint, rank int, vec_id bigint, score bigint"
     if not n_queries:
-        return spark.createDataFrame([], schema)
+        return None
     queries = rows.where(is_query).distinct()
-    cells = min(MOST_PIVOTS, max(1, n // data_rows * 4))
-    groups = min(MOST_PIVOTS, max(1, math.ceil(n_queries / query_rows)))
-    data_pivots = _lifted(_pivots(rows, cells, dims), longest)
-    query_pivots = _pivots(queries, groups, dims)
-    query_pivots = np.column_stack([query_pivots, np.zeros(len(query_pivots))])
+    data_pivots = _lifted(_pivots(rows, n, min(MOST_PIVOTS, math.ceil(math.sqrt(n))), dims), longest)
     data = written(_placed(rows, data_pivots, dims, longest), "cells")
-    asked = written(_placed(queries, query_pivots, dims, None), "groups")
     nearest = _smallest(data, k + 1)  # one id of them may be the query's own
-    sizes = {r.cell: (r.far, r.n) for r in asked.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}
-    between = np.sqrt(((query_pivots[:, None, :] - data_pivots[None, :, :]) ** 2).sum(2))
-    slack = 1e-6 * (1 + float(between.max(initial=0.0)) + math.sqrt(longest))
-    #: of each group and cell the distance from the pivot from which a data vector may be needed
-    needed = np.full(between.shape, np.inf)
-    for g, (radius, _) in sizes.items():
-        # an id's rows may lie in several cells
-        bounds, _ = _smallest_of_ids(
-            np.concatenate([radius + between[g, c] + far for c, (far, _) in nearest.items()]), np.concatenate([ids for _, ids in nearest.values()]), k + 1
-        )
-        within = bounds[k] if len(bounds) > k else np.inf
-        needed[g] = between[g] - radius - within - slack
-    blocks = {g: math.ceil(m / query_rows) for g, (_, m) in sizes.items()}
-    shipped = spark.sparkContext.broadcast((needed, sorted(sizes)))
+    coarse = min(MOST_PIVOTS, math.ceil(n_queries / query_rows))
+    fine = min(MOST_PIVOTS, max(coarse, math.ceil(math.sqrt(n_queries))))
+    for groups in sorted({fine, math.ceil(math.sqrt(fine * coarse)), coarse}, reverse=True):
+        query_pivots = _pivots(queries, n_queries, groups, dims)
+        query_pivots = np.column_stack([query_pivots, np.zeros(len(query_pivots))])
+        asked = written(_placed(queries, query_pivots, dims, None), "groups")
+        sizes = {r.cell: (r.far, r.n) for r in asked.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}
+        between = np.sqrt(((query_pivots[:, None, :] - data_pivots[None, :, :]) ** 2).sum(2))
+        slack = 1e-6 * (1 + float(between.max(initial=0.0)) + math.sqrt(longest))
+        needed = np.full(between.shape, np.inf)
+        for g, (radius, _) in sizes.items():
+            # an id's rows may lie in several cells
+            bounds, _ = _smallest_of_ids(
+                np.concatenate([radius + between[g, c] + far for c, (far, _) in nearest.items()]), np.concatenate([ids for _, ids in nearest.values()]), k + 1
+            )
+            within = bounds[k] if len(bounds) > k else np.inf
+            needed[g] = between[g] - radius - within - slack
+        sent = _counted(data, needed)
+        if groups == coarse or sum(sent.values()) <= n * max(MOST_SENT, coarse):
+            return Plan(data, asked, dims, needed, {g: m for g, (_, m) in sizes.items()}, sent, n)
+
+
+def search(df: DataFrame, id_col: str, vector_col: str, *, k: int = 20, every: int = 20, query_rows: int = QUERY_ROWS, data_rows: int = DATA_ROWS) -> DataFrame:
+    """``query_id, rank, vec_id, score``: of each row whose id is divisible by ``every`` the ``k`` best other rows.
+
+    Rows are known by their ids: rows with the query's id aren't its candidates; equal query rows are answered once;
+    repeated candidates count as often as they occur; candidates without an id come last among equal scores. Vectors
+    that are null or hold null or non-finite components take no part; shorter ones end in zeros. Scores are exact
+    while products of vectors stay below 2**53. No queries give no rows.
+    """
+    spark = df.sparkSession
+    planned = plan(df, id_col, vector_col, k=k, every=every, query_rows=query_rows)
+    if planned is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    dims = planned.dims
+    shipped = spark.sparkContext.broadcast((planned.needed, sorted(planned.queries)))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least, own = shipped.value
         for batch in batches:
             cell, far = np.asarray(batch.column("cell")), np.asarray(batch.column("far"))
             for g in own:
-                yield batch.select(["vec_id", "v"]).append_column("g", pa.array(np.full(len(cell), g, np.int32))).filter(pa.array(far >= least[g][cell]))
-
-    salts = max(1, math.ceil(n / data_rows))
-    sent = data.mapInArrow(replicate, "vec_id bigint, v binary, g int").withColumn("salt", F.pmod(F.xxhash64("vec_id", "v"), F.lit(salts)).cast("int"))
-    block_count = F.element_at(F.create_map(*[F.lit(x) for g, b in sorted(blocks.items()) for x in (g, b)]), F.col("g"))
-    sent = sent.withColumn("vec_id", F.coalesce("vec_id", F.lit(int(_NO_ID))))
-    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), block_count - 1)))
-    asked = asked.select("vec_id", "v", F.col("cell").alias("g")).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), block_count.cast("long")).cast("int"))
-    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+                kept = far >= least[g][cell]
+                if kept.any():
+                    some = batch.select(["vec_id", "v"]).filter(pa.array(kept))
+                    yield some.append_column("g", pa.array(np.full(some.num_rows, g, np.int32)))
+
+    # MOST_PIVOTS rows at most, or as many as blocks of queries
+    blocks = [(g, math.ceil(m / query_rows), max(1, math.ceil(planned.sent[g] / data_rows))) for g, m in planned.queries.items()]
+    blocks = F.broadcast(spark.createDataFrame(blocks, "g int, blocks int, salts int"))
+    drawn = lambda most: F.pmod(F.xxhash64("vec_id", "v"), F.col(most).cast("long")).cast("int")
+    sent = planned.data.mapInArrow(replicate, "vec_id bigint, v binary, g int").join(blocks, "g").withColumn("salt", drawn("salts"))
+    sent = sent.select("g", F.coalesce("vec_id", F.lit(int(_NO_ID))).alias("vec_id"), "v", "salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    asked = planned.asked.select("vec_id", "v", F.col("cell").alias("g")).join(blocks, "g").withColumn("block", drawn("blocks"))
+    asked = asked.select(*[F.col(c).alias(c) for c in ("g", "vec_id", "v", "block")], F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
