@@ -74,3 +74,24 @@ def test_redaction(spark):
 
 def test_oracle(spark):
     assert compare(spark, QUERIES["op1_secrets"], ORACLES["op1_secrets"])
+
+
+def test_joined_by_hash_beyond_the_broadcast(spark):
+    rows = [(i, t, "x") for i, t in enumerate([*TEXTS, TEXTS[5], TEXTS[3], None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fully string").repartition(3)
+    for out in (secrets.scan(df, "text", broadcast_rows=-1), secrets.scan(df, "text")):
+        got = sorted((r.doc_id, r.fully, secrets_text(r.spans)) for r in out.collect())
+        assert got == sorted((i, x, secrets_text([dict(kind=k, start=s, end=e) for s, _, e, k in plain(t)])) for i, t, x in rows)
+    assert secrets.scan(df.limit(0), "text", broadcast_rows=-1).count() == 0
+
+
+def secrets_text(spans):
+    return [(s["kind"], s["start"], s["end"]) for s in spans]
+
+
+def test_many_matches_in_one_long_text(spark):
+    """Far more matches than are folded at once, dropped ones between them."""
+    text = "".join(f"é token=value{i:06d} {HEX} token=ab " for i in range(3000))
+    (out,) = secrets.scan(spark.createDataFrame([(text,)], "text string"), "text").collect()
+    want = plain(text)
+    assert len(want) == 6000 and [(s.start, s.end, s.kind) for s in out.spans] == [(s, e, k) for s, _, e, k in want]

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.shared import small_or_not, written
+from weir.llm.shared import BROADCAST_ROWS, small_or_not, written
 
 #: Alternatives up to which a clause is kept; a larger set of strings forces nothing.
 MOST_STRINGS = 64
@@ -187,6 +187,15 @@ def candidates(rows: DataFrame, rules) -> DataFrame:
     return met.select("h1", "h2", named.alias("rules")).where(F.size("rules") > 0)
 
 
+#: Matches that are folded into one array before it is passed on: appending to one array of all would copy it each time.
+FOLDED = 256
+_SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
+
+
+def _none() -> Column:
+    return F.array().cast(_SPANS)
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """``array<struct<kind, start, end>>`` of a rule's matches, in code points, end exclusive.
 
@@ -195,42 +204,62 @@ def spans_of(text: Column, rule: Rule) -> Column:
     regex = F.lit(rule.regex)
     between, matches = F.split(text, rule.regex, -1), F.regexp_extract_all(text, regex, F.lit(0))
     values = F.regexp_extract_all(text, regex, F.lit(rule.group)) if rule.group else matches
-    step = F.arrays_zip(between.alias("gap"), matches.alias("match"), values.alias("value"))
+    lengths = [F.transform(c, lambda x: F.length(x)) for c in (between, matches, values)]
+    step = F.arrays_zip(*[c.alias(name) for c, name in zip(lengths, ("gap", "match", "value"), strict=True)])
     kind = F.lit(rule.kind)
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
 
     def add(state, x):
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        kept = x["match"].isNotNull() & (F.length(x["value"]) >= rule.least)
+        start = state["at"] + x["gap"]
+        end = start + F.coalesce(x["match"], F.lit(0))
+        kept = x["match"].isNotNull() & (x["value"] >= rule.least)
         one = F.array(F.struct(kind.alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end")))
         return F.struct(end.cast("long").alias("at"), F.when(kept, F.concat(state["spans"], one)).otherwise(state["spans"]).alias("spans"))
 
-    folded = F.aggregate(step, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), add)
-    return F.when(F.rlike(text, regex), folded["spans"]).otherwise(none)
+    def fold(state, block):
+        own = F.aggregate(block, F.struct(state["at"].alias("at"), _none().alias("spans")), add)
+        return F.struct(own["at"].alias("at"), F.concat(state["blocks"], F.array(own["spans"])).alias("blocks"))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(step) - 1) / FOLDED).cast("int")), lambda i: F.slice(step, i * FOLDED + 1, F.lit(FOLDED)))
+    folded = F.aggregate(blocks, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPANS}>").alias("blocks")), fold)
+    return F.when(F.rlike(text, regex), F.flatten(folded["blocks"])).otherwise(_none())
 
 
-def scan(df: DataFrame, text_col: str, rules=RULES, *, out: str = "spans") -> DataFrame:
+def scan(df: DataFrame, text_col: str, rules=RULES, *, out: str = "spans", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with ``out``: the spans of every rule's matches in each whole text, by start, then rules as listed.
 
     A null or empty text has none. Matches are leftmost and non-overlapping within a rule; rules may overlap. Rows
-    are neither lost nor joined, whatever their ids, copies and other columns (a column called ``out`` is replaced).
+    are neither lost nor multiplied, whatever their ids, copies and other columns (a column called ``out`` is replaced).
+
+    Up to ``broadcast_rows`` candidates meet their texts by a broadcast. More are joined with the texts that they name
+    (Spark sends these by a Bloom filter where the scan is large), and their spans go back to the rows by hash: the
+    rows then move without their text, unless the caller asks for it.
     """
     rules = tuple(rules)
-    others = [c for c in df.columns if c != out]
+    others = [c for c in df.columns if c.lower() != out.lower()]
     inner = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]
     rows = df.select(*inner, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     keyed = rows.select("*", *_keys(F.col("text")))
-    found = small_or_not(written(candidates(keyed, rules), "candidates"))
-    joined = keyed.join(found.withColumnsRenamed({"h1": "g1", "h2": "g2"}), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    each = []
-    for rule in rules:
-        spans = spans_of(F.col("text"), rule)
-        each.append(F.when(F.array_contains("rules", rule.kind), spans).otherwise(none) if trigram_query(rule.regex) else spans)
+    found = written(candidates(keyed, rules), "candidates").withColumnsRenamed({"h1": "g1", "h2": "g2"})
+    by_trigram, always = [r for r in rules if trigram_query(r.regex)], [r for r in rules if not trigram_query(r.regex)]
+    few = found.count() <= broadcast_rows
+    same = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
+
+    def verified() -> Column:
+        each = [F.when(F.array_contains("rules", r.kind), spans_of(F.col("text"), r)).otherwise(_none()) for r in by_trigram]
+        return F.flatten(F.array(*each)) if each else _none()
+
+    fully = F.flatten(F.array(*[spans_of(F.col("text"), r) for r in always])) if always else _none()
+    kept = [f"c{i}" for i in range(len(others))]
+    if few:
+        joined = keyed.join(F.broadcast(found), same, "left").select(*kept, F.concat(verified(), fully).alias("all"))
+    else:
+        copies = keyed.join(found, same).groupBy("g1", "g2").agg(F.first("text").alias("text"), F.first("rules").alias("rules"))
+        hits = written(copies.select("g1", "g2", verified().alias("some")).where(F.size("some") > 0), "hits")
+        slim = keyed.select(*kept, "h1", "h2", fully.alias("fully"))
+        joined = slim.join(small_or_not(hits), same, "left").select(*kept, F.concat(F.coalesce("some", _none()), "fully").alias("all"))
     rank = F.map_from_arrays(F.array(*[F.lit(r.kind) for r in rules]), F.array(*[F.lit(i) for i in range(len(rules))]))
     ordered = F.transform(
-        F.array_sort(F.transform(F.flatten(F.array(*each)), lambda s: F.struct(s["start"].alias("start"), F.element_at(rank, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))),
+        F.array_sort(F.transform("all", lambda s: F.struct(s["start"].alias("start"), F.element_at(rank, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))),
         lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
     )
     return joined.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(others)], ordered.alias(out))
