@@ -72,3 +72,13 @@ def test_small_files_share_a_partition():
 
 def test_oracle(spark):
     assert compare(spark, QUERIES["op2_warc"], ORACLES["op2_warc"])
+
+
+def test_revisits_name_their_response(spark):
+    """By the record's own id, as any reader of archives resolves it."""
+    path = scratch_path(spark, "t")
+    warc.write(frame(spark, [r for r in ROWS if r[0] is not None]), path, "page_id", "url", "html")
+    headers = [r.headers for r in warc.read(spark, path).select("headers").collect()]
+    responses = {h["warc-record-id"] for h in headers if h["warc-type"] == "response"}
+    revisits = [h for h in headers if h["warc-type"] == "revisit"]
+    assert revisits and all(h["warc-refers-to"] in responses for h in revisits)

@@ -27,7 +27,7 @@ from weir.llm.shared import scratch_path, small_or_not, written
 
 #: Bytes of archives for each partition of a scan.
 PARTITION_BYTES = 32 << 20
-PAGE = "urn:weir:page:"
+PAGE = "urn:weir:page:"  # a record's id: that, its page id, a colon and its payload's digest
 HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 SCHEMA = (
     "record_type string, page_id bigint, target_uri string, refers_to bigint, payload_bytes bigint, payload_digest string,"
@@ -48,12 +48,17 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), clean, F.lit("\r\n")), F.lit(""))
 
 
+def _record_id(page: Column) -> Column:
+    return F.concat(F.lit(f"<{PAGE}"), page, F.lit(":"), F.col("digest"), F.lit(">"))
+
+
 def write(df: DataFrame, path: str, id_col: str, url_col: str, html_col: str, *, compression: str = "gzip") -> None:
     """A record for each row, payload the html in UTF-8 (null: empty), in archives under ``path``.
 
     Of rows with equal payloads (empty ones too) those with the smallest id are responses and the others revisits of
     it. Rows without an id are revisits where a row with an id has the payload, else responses. Repeated rows give a
-    record each.
+    record each. A record's id is made of page id and digest, so that a revisit names its response's; rows without a
+    page id have random ones.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("html")).withColumn("digest", base32_sha1(F.col("html")))
@@ -67,13 +72,13 @@ def write(df: DataFrame, path: str, id_col: str, url_col: str, html_col: str, *,
     record = F.concat(
         F.lit("WARC/1.1\r\n"),
         _line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        _line("WARC-Record-ID", F.concat(F.lit(f"<urn:uuid:"), F.uuid(), F.lit(">"))),
+        _line("WARC-Record-ID", F.coalesce(_record_id(F.col("id")), F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")))),
         _line("WARC-Date", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         _line("WARC-Target-URI", F.col("url")),
         _line("X-Page-ID", F.col("id")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         _line("X-Payload-Length", size),
-        _line("WARC-Refers-To", F.when(revisit, F.concat(F.lit(f"<{PAGE}"), F.col("first"), F.lit(">")))),
+        _line("WARC-Refers-To", F.when(revisit, _record_id(F.col("first")))),
         _line("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         _line("Content-Length", F.octet_length(block)),
@@ -212,7 +217,7 @@ def described(headers: dict[str, str]) -> dict:
     digest, refers = headers.get("warc-payload-digest"), headers.get("warc-refers-to", "").strip("<>")
     return {
         "record_type": headers.get("warc-type"), "page_id": number(headers.get("x-page-id")), "target_uri": headers.get("warc-target-uri"),
-        "refers_to": number(refers.removeprefix(PAGE)) if refers.startswith(PAGE) else None, "payload_bytes": number(headers.get("x-payload-length")),
+        "refers_to": number(refers.removeprefix(PAGE).partition(":")[0]) if refers.startswith(PAGE) else None, "payload_bytes": number(headers.get("x-payload-length")),
         "payload_digest": digest.rpartition(":")[2] if digest else None, "digest_ok": None, "headers": list(headers.items()), "payload": None,
     }
 
@@ -313,7 +318,11 @@ class _Plain(io.RawIOBase):
 
 
 def round_trip(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of archives written and read back."""
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of archives written and read back.
+
+    A row for each row of ``df``, also for repeated ones and those without an id or url. A null html is an empty
+    payload; empty payloads are equal like others. No rows give none. A payload that differs from its digest raises.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, "warc")
     write(df, path, id_col, url_col, html_col)
