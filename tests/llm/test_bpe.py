@@ -1,6 +1,7 @@
 """Operator 9 against the tokenizers library, and exact round trips."""
 
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -10,6 +11,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from weir.llm import bpe
+from weir.llm.queries import QUERIES
+from weir.llm.shared import table
 
 LIBRARY = Tokenizer.from_file(bpe.default_vocabulary())
 OURS = bpe.TrieBpe(bpe.default_vocabulary())
@@ -61,3 +64,23 @@ def test_decode_ids_gives_texts_back(spark):
     df = spark.createDataFrame([(1, "some text – ok"), (2, None)], "doc_id long, text string")
     back = bpe.decode_ids(bpe.encode(df, "doc_id", "text"), "doc_id", "ids")
     assert {(r.doc_id, r.text) for r in back.collect()} == {(1, "some text – ok"), (2, "")}
+
+
+def test_query_on_a_table(spark):
+    docs = {r.doc_id: r.text or "" for r in table(spark, "/root/testdata/sf0.001", "documents").collect()}
+    out = QUERIES["op9_bpe"](spark, "/root/testdata/sf0.001").collect()
+    assert len(out) == len(docs)
+    for r in out:
+        own = np.array(ids(docs[r.doc_id]), "<u4")
+        decoded = LIBRARY.decode(own.tolist(), skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(own), hashlib.sha256(own.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}])
+def test_other_vocabularies_are_refused(tmp_path, change):
+    with open(bpe.default_vocabulary(), encoding="utf-8") as file:
+        spec = json.load(file)
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec | change))
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.TrieBpe(str(path))

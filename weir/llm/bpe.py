@@ -42,12 +42,27 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _check(spec: dict) -> None:
+    """``ValueError`` for a file whose ids this encoder wouldn't give."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [f"{name} {spec[name]['type']}" for name in ("normalizer",) if spec.get(name)]
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        wrong.append(f"pre-tokenizer {before}")
+    if (spec.get("decoder") or {}).get("type") != "ByteLevel":
+        wrong.append("decoder")
+    wrong += [f"model's {name}" for name in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(name)]
+    wrong += [f"token {t['content']!r}" for t in spec["added_tokens"] if any(t.get(flag) for flag in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if model.get("type", "BPE") != "BPE" or wrong:
+        raise ValueError(f"not a plain byte-level vocabulary: {', '.join(wrong) or model['type']}")
+
+
 class TrieBpe:
     """Encoder and decoder of one vocabulary file of the ``tokenizers`` library (byte-level BPE, no dropout)."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        _check(spec)
         model, alphabet = spec["model"], byte_alphabet()
         raw = {token: bytes(alphabet[c] for c in token) for token in model["vocab"]}
         self.ids = {raw[token]: i for token, i in model["vocab"].items()}
