@@ -120,3 +120,13 @@ def test_alike_counts_siblings_of_the_same_tag_in_long_articles():
 def test_formulas_and_objects_are_content():
     texts = [n.text for n in H.parse("<p>so <math><mi>E</mi><mo>=</mo><mi>m</mi></math> holds</p><object data=a><p>fallback</p></object>") if n.text]
     assert texts == ["so E=m holds", "fallback"]
+
+
+def test_a_long_article_with_adverts_between(spark):
+    """Three hundred paragraphs, every fifth followed by an advert: wide pages are judged like narrow ones."""
+    words = "It was late in the year when the river rose over its banks and reached the old mill, and nobody knew why."
+    paragraphs = [f"Part {i}. {words}" for i in range(300)]
+    body = "".join(f"<p>{p}</p>" + ('<div class="advert banner"><a href="/buy">Buy now</a></div>' if i % 5 == 4 else "") for i, p in enumerate(paragraphs))
+    page = f'<html><body><nav class="menu"><ul><li><a href="/">Home</a></li></ul></nav><article class="content"><h1>The mill</h1>{body}</article><footer class="footer">All rights reserved</footer></body></html>'
+    df = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert H.main_text(df, "page_id", "url", "html").first().text == "\n".join(["The mill", *paragraphs])
