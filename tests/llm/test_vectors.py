@@ -4,10 +4,14 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from weir.llm import vectors
+from weir.llm.queries import ORACLES, QUERIES
 from weir.llm.shared import table, written
 
+from .oracle import compare
+
 
 def brute(rows):
     def usable(v, label):
@@ -76,34 +80,43 @@ def test_search_reaches_every_near_vector():
     assert found >= 0.999 * true.sum() and np.mean([len(s) for s in links]) < 60
 
 
-def test_audit_counts_missed_links(spark):
-    df = spark.createDataFrame(sample(), "vec_id long, embedding array<double>, label int")
-    nodes = written(vectors.classes(df, "vec_id", "embedding", "label").select("node", "label", "v"), "t")
-    pairs = vectors.find_pairs(nodes)
-    true, found = vectors.audit(nodes, pairs, sample=400)
-    assert true == found == pairs.count()
-    assert vectors.audit(nodes, pairs.limit(0), sample=400) == (true, 0)
-
-
 def in_classes(spark, rows):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    return written(vectors.classes(df, "vec_id", "embedding", "label").select("node", "label", "v"), "t")
+    return written(vectors.classes(df, "vec_id", "embedding", "label").withColumn("size", F.lit(1).cast("long")).select("node", "label", "v", "size"), "t")
+
+
+def links_of(found):
+    return found.agg(F.coalesce(F.sum("links"), F.lit(0))).first()[0]
 
 
-def test_pairs_in_farther_clusters_are_found(spark, monkeypatch):
-    """Two near vectors with homes of their own that share their second cluster only."""
+def test_audit_counts_missed_links(spark):
+    nodes = in_classes(spark, sample())
+    found = vectors.find(nodes)
+    true, seen = vectors.audit(nodes, found, sample=400)
+    assert true == seen == links_of(found)
+    assert vectors.audit(nodes, found.limit(0), sample=400) == (true, 0)
+
+
+def test_pairs_in_farther_clusters_are_found_once(spark, monkeypatch):
+    """Two near vectors with homes of their own that share their second cluster, and two that share all clusters."""
     def at(degrees, tilt=0.0):
         a, t = math.radians(degrees), math.radians(tilt)
         return [math.cos(a) * math.cos(t), math.sin(a) * math.cos(t), math.sin(t)]
 
-    monkeypatch.setattr(vectors, "_centroids", lambda nodes, sizes: {(1, 3): np.array([at(-10), at(25), at(7.5, 12)])})
-    nodes = in_classes(spark, [(1, at(0), 1), (2, at(15), 1)])
-    assert vectors.find_pairs(nodes, overlap=2).count() == 1
+    nodes = in_classes(spark, [(1, at(0), 1), (2, at(15), 1), (3, at(120), 1), (4, at(121), 1)])
+    centroids = np.array([at(-10), at(25), at(7.5, 12), at(119)])
+
+    def assigned(sized, overlap):
+        rows = [(*r, np.argsort(-(centroids @ np.array(r.v)))[:overlap].tolist()) for r in sized.select("node", "v", "size", "label", "dims").collect()]
+        return spark.createDataFrame(rows, "node long, v array<double>, size long, label int, dims int, clusters array<int>")
+
+    monkeypatch.setattr(vectors, "_assigned", assigned)
+    assert links_of(vectors.find(nodes, overlap=2)) == 4 and links_of(vectors.find(nodes, overlap=4)) == 4
 
 
 def test_lost_links_lead_to_an_exact_comparison(spark, monkeypatch):
     rows = sample() + [(1000 + i, v, 7) for i, v, _ in sample(150, 16, 0.2)]
-    monkeypatch.setattr(vectors, "find_pairs", lambda nodes, *_: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(vectors, "find", lambda nodes, *_: spark.createDataFrame([], vectors._FOUND))
     monkeypatch.setattr(vectors, "SHARD_ROWS", 100)
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 60)
     assert result(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")) == brute(rows)
@@ -115,5 +128,23 @@ def test_audit_draws_until_a_large_label_shows_links(spark, monkeypatch):
     rows = sample(300) + [(1000 + i, [rng.gauss(0, 1) for _ in range(64)], 8) for i in range(600)]
     rows += [(2000 + i, [x + 0.01 for x in rows[400 + i][1]], 8) for i in range(3)]
     monkeypatch.setattr(vectors, "SHARD_ROWS", 250)
-    true = vectors.truth(in_classes(spark, rows), sample=20)
-    assert true.where("label = 8").count() == 3
+    assert links_of(vectors.truth(in_classes(spark, rows), sample=20).where("label = 8")) == 6
+
+
+def test_recall_over_many_clusters_without_the_fallback(spark):
+    """12,000 vectors of one label, some of them near others: many clusters, some split, with the query's constants."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 24))
+    x = np.concatenate([x, x[:3000] + rng.normal(0, 0.15, (3000, 24)), np.repeat(x[:1], 1500, 0) + rng.normal(0, 0.1, (1500, 24)), rng.normal(size=(3500, 24))])
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    nodes = in_classes(spark, rows)
+    u = vectors.unit(x)
+    true = sum(int((u[i : i + 1000] @ u.T >= 0.93).sum()) for i in range(0, len(u), 1000)) - len(u)
+    found = vectors.find(nodes)
+    assert true > 1_000_000 and links_of(found) >= 0.99 * true
+    # nothing but counts and forests: rows don't grow with the links
+    assert found.count() < 40 * len(rows)
+
+
+def test_oracle(spark):
+    assert compare(spark, QUERIES["op5_vectors"], ORACLES["op5_vectors"])

@@ -4,12 +4,16 @@ Vectors of one label go to overlapping clusters (their nearest centroids), whose
 Each shard builds a flat graph: of each vector's nearest neighbours, robust pruning keeps those that no kept one is
 much closer to. Adjacency lists of a vector in several shards are united. Every vector is then searched for, from the
 medoid of each of its clusters' shards, by greedy search with a beam, which expands its range while it finds vectors
-within the threshold. Links are verified in double precision. An audit compares a sample of queries with all rows of
-their label; of each label larger than a shard it draws until it has seen ``LEAST_LINKS`` links or asked all. Labels
-with too many links missed are searched again with more overlap and a wider beam, and at last compared exactly, in blocks.
+within the threshold. Links are verified in double precision.
+
+A link is counted where it is found, in the first of the clusters that its two vectors share, and united where it is
+found: a task gives its members' counts and a forest of them, never its pairs, whose number grows with the square of
+a group of near copies. An audit compares a sample of queries with all rows of their label; of each label larger than
+a shard it draws until it has seen ``LEAST_LINKS`` links or asked all. Labels with too many links missed are searched
+again with more overlap and a wider beam, and at last compared exactly, in blocks.
 
 Equal vectors of a label are one class from the start, so copies are never expanded into pairs. A cluster with more
-members than a shard holds is split into blocks, and members are searched for in all blocks of their cluster.
+members than a shard holds is split into blocks, and each two blocks are searched for each other.
 """
 
 from __future__ import annotations
@@ -19,11 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weir.llm.components import components
-from weir.llm.shared import BROADCAST_ROWS, small_or_not, union_all, written
+from weir.llm.shared import small_or_not, union_all, written
 
 COSINE = 0.93
 #: Vectors of a shard, about.
@@ -39,7 +43,7 @@ BEAM = 16
 AUDITED, RECALL = 64, 0.99
 #: Links that the audit must see in each large label; it draws on, to the last vector, until it has.
 LEAST_LINKS = 200
-#: Vectors of a block that is compared exactly.
+#: Vectors of a block that is compared exactly, and of one that is assigned to clusters.
 BLOCK_ROWS = 2048
 _DRAWS = 1 << 40
 
@@ -147,189 +151,237 @@ def range_search(x: np.ndarray, links: list[np.ndarray], queries: np.ndarray, le
         yield i, np.flatnonzero(cosine[i] >= least - 1e-5)
 
 
-def _centroids(nodes: DataFrame, sizes: dict) -> dict:
-    """Of each large label and dimension some of its vectors, in the order of their hashes, none near another.
-
-    A large group of near copies so has one centroid and stays together.
-    """
-    wanted = {key: min(MOST_CENTROIDS, -(-OVERLAP * n // SHARD_ROWS)) for key, n in sizes.items()}
-    if not wanted:
-        return {}
-    rate = F.lit(0.0)
-    for (label, dims), n in sizes.items():
-        rate = F.when((F.col("label") == label) & (F.size("v") == dims), F.lit(min(1.0, 4.0 * wanted[label, dims] / n))).otherwise(rate)
-    draw = F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(1_000_000))
-    found = nodes.where(draw < rate * 1_000_000).select("label", F.size("v").alias("dims"), "v", draw.alias("draw"), "node").collect()
-    out: dict = {}
-    for r in sorted(found, key=lambda r: (r.draw, r.node)):
-        own = out.setdefault((r.label, r.dims), [])
-        v = unit(np.array([r.v]))[0]
-        if len(own) < wanted[r.label, r.dims] and (not own or max(np.array(own) @ v) < APART):
-            own.append(v)
-    return {key: np.array(own) for key, own in out.items()}
-
-
-def _assigned(nodes: DataFrame, centroids: dict, overlap: int) -> DataFrame:
-    """``node, v, label, cluster, dims``: each vector in its nearest clusters."""
-    shipped = nodes.sparkSession.sparkContext.broadcast(centroids)
+KEY = ("label", "dims")
+SHARD = (*KEY, "cluster", "block")
+_FOUND = "node bigint, links bigint, n bigint, root bigint"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, cluster = [], []
-            for i, (label, v) in enumerate(zip(batch.column("label").to_pylist(), batch.column("v").to_pylist(), strict=True)):
-                own = shipped.value.get((label, len(v)))
-                near = [0] if own is None else np.argsort(-(own @ unit(np.array([v]))[0]), kind="stable")[:overlap].tolist()
-                at += [i] * len(near)
-                cluster += near
-            own = batch.take(pa.array(at, pa.int32()))
-            yield own.append_column("cluster", pa.array(cluster, pa.int32()))
 
-    out = nodes.select("node", "v", "label").mapInArrow(run, f"node bigint, v array<double>, label {dict(nodes.dtypes)['label']}, cluster int")
-    return out.withColumn("dims", F.size("v"))
+def _label(nodes: DataFrame) -> str:
+    return f"label {dict(nodes.dtypes)['label']}, dims int"
 
 
-SHARD = ("label", "dims", "cluster", "block")
+def _sized(nodes: DataFrame) -> DataFrame:
+    """``node, v, label, size, dims`` with ``total``, the vectors of the label and dimension."""
+    rows = nodes.select("node", "v", "label", "size", F.size("v").alias("dims"))
+    sizes = written(rows.groupBy(*KEY).agg(F.count("*").alias("total")), "sizes")
+    return rows.join(small_or_not(sizes), [*KEY])
 
 
-def _sizes(nodes: DataFrame) -> DataFrame:
-    return nodes.groupBy("label", F.size("v").alias("dims")).agg(F.count("*").alias("n"))
+def _hashed(seed: int, blocks) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "node"), blocks)
 
 
-def _large(nodes: DataFrame) -> dict:
-    """Of each label and dimension with more vectors than a shard holds, how many they are."""
-    return {(r.label, r.dims): r.n for r in _sizes(nodes).where(F.col("n") > SHARD_ROWS).collect()}
+def _assigned(sized: DataFrame, overlap: int) -> DataFrame:
+    """``node, v, label, size, dims, clusters``: each vector with its nearest clusters.
 
-
-def find_pairs(nodes: DataFrame, overlap: int = OVERLAP, beam: int = BEAM, least: float = COSINE) -> DataFrame:
-    """Distinct verified ``a, b`` (a < b) of classes ``node, label, v``."""
-    assigned = _assigned(nodes, _centroids(nodes, _large(nodes)), overlap)
-    counts = assigned.groupBy("label", "dims", "cluster").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("blocks"))
-    spread = assigned.join(counts, ["label", "dims", "cluster"])
-    members = written(spread.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks").cast("long")).cast("int")), "shards")
+    Centroids of a label larger than a shard are some of its vectors, in the order of their hashes, none near another:
+    a large group of near copies so has one centroid and stays together. A smaller label is one cluster.
+    """
+    large = sized.where(F.col("total") > SHARD_ROWS)
+    wanted = F.least(F.lit(MOST_CENTROIDS), F.ceil(OVERLAP * F.col("total") / SHARD_ROWS))
+    drawn = large.withColumn("draw", _hashed(3, F.lit(_DRAWS))).where(F.col("draw") < 4 * wanted * _DRAWS / F.col("total"))
+
+    def choose(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["draw", "node"])
+        x = unit(np.array(part["v"].tolist()))
+        most, own = min(MOST_CENTROIDS, -(-OVERLAP * int(part["total"].iloc[0]) // SHARD_ROWS)), []
+        for i in range(len(x)):
+            if len(own) < most and (not own or (x[own] @ x[i]).max() < APART):
+                own.append(i)
+        return pd.DataFrame({"label": [key[0]] * len(own), "dims": key[1], "cluster": range(len(own)), "v": list(x[own])})
+
+    found = drawn.select(*KEY, "node", "v", "draw", "total").groupBy(*KEY).applyInPandas(choose, f"{_label(sized)}, cluster int, v array<double>")
+    parts = F.ceil(F.col("total") / BLOCK_ROWS)
+    centroids = written(found, "centroids").join(small_or_not(written(large.select(*KEY, parts.alias("parts")).distinct(), "parts")), [*KEY])
+    centroids = centroids.select(*[F.col(c).alias(c) for c in (*KEY, "cluster", "v")], F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+
+    def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = left.drop(columns="part")
+        if len(right) and len(left):
+            near = np.argsort(-(unit(np.array(left["v"].tolist())) @ np.array(right["v"].tolist()).T), axis=1, kind="stable")
+            out["clusters"] = list(right["cluster"].to_numpy()[near[:, :overlap]])
+        else:
+            out["clusters"] = [[0]] * len(left)
+        return out
+
+    fields = f"node bigint, v array<double>, size bigint, {_label(sized)}"
+    split = large.select("node", "v", "size", *KEY, _hashed(7, parts).alias("part"))
+    near = split.groupBy(*KEY, "part").cogroup(centroids.groupBy(*KEY, "part")).applyInPandas(assign, f"{fields}, clusters array<int>")
+    alone = sized.where(F.col("total") <= SHARD_ROWS).select("node", "v", "size", *KEY, F.array(F.lit(0)).alias("clusters"))
+    return near.unionByName(alone)
+
+
+def _owned(a: np.ndarray, b: np.ndarray, cluster: int) -> np.ndarray:
+    """Whether ``cluster`` is the first one that two lists of clusters, row by row, share."""
+    out = np.empty(len(a), bool)
+    for start in range(0, len(a), 8192):
+        x, y = a[start : start + 8192], b[start : start + 8192]
+        shared = (x[:, :, None] == y[:, None, :]).any(2)
+        out[start : start + 8192] = np.where(shared, x, np.iinfo(np.int32).max).min(1) == cluster
+    return out
+
+
+def _roots(hit: np.ndarray) -> np.ndarray:
+    """Of each row of a symmetric matrix of links the first row that it is connected with."""
+    n = len(hit)
+    root = np.arange(n)
+    while True:
+        new = np.minimum(root, np.where(hit, root[None, :], n).min(1, initial=n))
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def find(nodes: DataFrame, overlap: int = OVERLAP, beam: int = BEAM, least: float = COSINE) -> DataFrame:
+    """``node, links, n, root`` of classes ``node, label, v, size``, by shard: links found there and counted there, as
+    classes and as vectors, and a node that they connect with."""
+    assigned = written(_assigned(_sized(nodes), overlap), "assigned")
+    spread = assigned.withColumn("cluster", F.explode("clusters"))
+    counts = spread.groupBy(*KEY, "cluster").agg(F.ceil(F.count("*") / SHARD_ROWS).alias("blocks"))
+    members = spread.join(small_or_not(written(counts, "blocks")), [*KEY, "cluster"])
+    members = written(members.withColumn("block", _hashed(5, F.col("blocks"))), "shards")
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         x, ids = unit(np.array(part["v"].tolist())), part["node"].to_numpy()
         return pd.DataFrame({"node": ids, "near": [ids[own] for own in build_graph(x)]})
 
-    built = members.groupBy(*SHARD).applyInPandas(build, "node bigint, near array<bigint>")
+    built = members.select(*SHARD, "node", "v").groupBy(*SHARD).applyInPandas(build, "node bigint, near array<bigint>")
     # a vector's lists from all its shards as one
     united = written(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    data = members.join(united, "node").select("node", "v", "near", *SHARD, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("asking"))
-    renewed = [F.col(c).alias(c) for c in ("node", "v", "label", "dims", "cluster")]  # the same columns on both sides would be ambiguous
-    # two near vectors may share none but their farther clusters, so each is searched for wherever it is a member
-    asks = members.select(*renewed, F.col("block").alias("asking"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    keys = [*SHARD, "asking"]
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            ids, x = right["node"].to_numpy(), unit(np.array(right["v"].tolist()))
-            place = {node: i for i, node in enumerate(ids)}
-            links = [np.array([place[j] for j in own if j in place], np.int64) for own in right["near"]]
-            asked, q = left["node"].to_numpy(), unit(np.array(left["v"].tolist()))
-            for start in range(0, len(q), 512):
-                for i, found in range_search(x, links, q[start : start + 512], least, beam):
-                    query = asked[start + i]
-                    others = ids[found[x[found] @ q[start + i] >= least]]
-                    others = others[others != query]
-                    out.append(np.column_stack([np.minimum(others, query), np.maximum(others, query)]))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(pairs, columns=["a", "b"])
-
-    found = asks.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(search, "a bigint, b bigint")
-    return written(found.distinct(), "pairs")
+    meeting = members.join(united, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    meeting = meeting.select(*SHARD, "node", "v", "size", "clusters", "near", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def search(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        ids, x = part["node"].to_numpy(), unit(np.array(part["v"].tolist()))
+        hit = np.zeros((len(ids), len(ids)), bool)
+        blocks = part["block"].to_numpy()
+        for own in dict.fromkeys(key[3:]):
+            # two near vectors may share none but their farther clusters, so each is searched for wherever it is a member
+            inside, asked = np.flatnonzero(blocks == own), np.flatnonzero(blocks != own) if key[3] != key[4] else np.arange(len(ids))
+            if len(inside) and len(asked):
+                place = {node: i for i, node in enumerate(ids[inside])}
+                links = [np.array([place[j] for j in near if j in place], np.int64) for near in part["near"].iloc[inside]]
+                for i, found in range_search(x[inside], links, x[asked], least, beam):
+                    hit[asked[i], inside[found]] = True
+        hit |= hit.T
+        np.fill_diagonal(hit, False)
+        i, j = np.nonzero(hit)
+        near = np.einsum("ij,ij->i", x[i], x[j]) >= least
+        hit[i[~near], j[~near]] = False
+        i, j = i[near], j[near]
+        clusters = np.array(part["clusters"].tolist(), np.int64)
+        counted = _owned(clusters[i], clusters[j], key[2])
+        n = np.bincount(i[counted], weights=part["size"].to_numpy()[j[counted]], minlength=len(ids)).astype(np.int64)
+        return pd.DataFrame({"node": ids, "links": np.bincount(i[counted], minlength=len(ids)), "n": n, "root": ids[_roots(hit)]})
+
+    found = meeting.groupBy(*KEY, "cluster", "low", "high").applyInPandas(search, _FOUND)
+    return written(found.where("links > 0 OR node <> root"), "found")
 
 
 def compared(asked: DataFrame, nodes: DataFrame, least: float = COSINE) -> DataFrame:
-    """``label, dims, a, b`` (a < b) of all links of the classes ``asked`` (with ``n``, their label's size), block by block.
+    """As ``find`` gives, the links of the classes ``asked`` with all of their label, block by block.
 
-    A link between two asked classes may come twice.
+    Classes that weren't asked for themselves occur where they are connected, without counts.
     """
-    asked = written(asked.select("node", "v", "label", "n"), "asked")
-    wanted = asked.groupBy("label", F.size("v").alias("dims")).agg(F.ceil(F.max("n") / BLOCK_ROWS).alias("block"), F.ceil(F.count("*") / BLOCK_ROWS).alias("asking"))
+    asked = written(_sized(asked), "asked").withColumnRenamed("total", "asked")
+    wanted = asked.select(*KEY, "asked").distinct().join(_sized(nodes).select(*KEY, "total").distinct(), [*KEY])
+    wanted = wanted.select(*KEY, F.ceil(F.col("total") / BLOCK_ROWS).alias("block"), F.ceil(F.col("asked") / BLOCK_ROWS).alias("asking"))
     wanted = small_or_not(written(wanted, "wanted"))
-    keys = ["label", "dims", "block", "asking"]
+    keys = [*KEY, "block", "asking"]
 
     def placed(df: DataFrame, own: str, other: str) -> DataFrame:
-        joined = df.select("node", "v", "label", F.size("v").alias("dims")).join(wanted, ["label", "dims"])
-        block = F.pmod(F.xxhash64(F.lit(5), "node"), F.col(own)).alias(own)
+        joined = df.select("node", "v", "label", "size", F.size("v").alias("dims")).join(wanted, [*KEY])
         # the same columns on both sides would be ambiguous
-        return joined.select(*[F.col(c).alias(c) for c in ("node", "v", "label", "dims")], block, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other))
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [np.zeros((0, 2), np.int64)]
-        if len(left) and len(right):
-            ids, x = right["node"].to_numpy(), unit(np.array(right["v"].tolist()))
-            queries, q = left["node"].to_numpy(), unit(np.array(left["v"].tolist()))
-            for start in range(0, len(q), 512):
-                i, j = np.nonzero(q[start : start + 512] @ x.T >= least)
-                a, b = queries[start + i], ids[j]
-                out.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)])[a != b])
-        pairs = np.unique(np.concatenate(out), axis=0)
-        return pd.DataFrame({"label": [key[0]] * len(pairs), "dims": key[1], "a": pairs[:, 0], "b": pairs[:, 1]})
-
-    both = placed(asked, "asking", "block").groupBy(*keys).cogroup(placed(nodes, "block", "asking").groupBy(*keys))
-    return both.applyInPandas(run, f"label {dict(nodes.dtypes)['label']}, dims int, a bigint, b bigint")
-
-
-def _labels(nodes: DataFrame, rows: list[tuple], more: str = "") -> DataFrame:
-    """Rows of ``label, dims`` and ``more`` from the driver, to be joined."""
-    out = nodes.sparkSession.createDataFrame(rows, f"label {dict(nodes.dtypes)['label']}, dims int{more}")
-    return F.broadcast(out) if len(rows) <= BROADCAST_ROWS else out
+        return joined.select(*[F.col(c).alias(c) for c in ("node", "v", "size", *KEY)], _hashed(5, F.col(own)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"node": [], "links": [], "n": [], "root": []}, dtype="int64")
+        ids, x, size = right["node"].to_numpy(), unit(np.array(right["v"].tolist())), right["size"].to_numpy()
+        queries, q = left["node"].to_numpy(), unit(np.array(left["v"].tolist()))
+        links, n, parts = [], [], []
+        root = np.arange(len(ids))
+        for start in range(0, len(q), 512):
+            hit = q[start : start + 512] @ x.T >= least
+            links.append((hit & (ids[None, :] != queries[start : start + 512, None])).sum(1))
+            n.append(np.where(ids[None, :] != queries[start : start + 512, None], hit * size[None, :], 0).sum(1))
+            # the first of each query's neighbours stands for it; neighbours are connected with that one
+            first = np.where(hit.any(1), hit.argmax(1), -1)
+            parts.append(first)
+            root = _joined(root, hit)
+        first = np.concatenate(parts)
+        asks = pd.DataFrame({"node": queries, "links": np.concatenate(links), "n": np.concatenate(n), "root": np.where(first >= 0, ids[first], queries)})
+        return pd.concat([asks, pd.DataFrame({"node": ids, "links": 0, "n": 0, "root": ids[root]})])
+
+    both = placed(asked, "asking", "block").groupBy(*keys).cogroup(placed(nodes, "block", "asking").groupBy(*keys)).applyInPandas(run, _FOUND)
+    return both.where("links > 0 OR node <> root")
+
+
+def _joined(root: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """``root``, a forest of the columns, with each row's columns of ``hit`` connected."""
+    for row in hit:
+        own = np.unique(root[row])
+        if len(own) > 1:
+            root = np.where(np.isin(root, own), own[0], root)
+    return root
+
+
+def _share(asked: int) -> Column:
+    """How much of a label is asked, as a bound of draws."""
+    return F.when(4 * asked >= F.col("total"), F.lit(_DRAWS)).otherwise(F.ceil(F.lit(asked).cast("double") * _DRAWS / F.col("total")))
 
 
 def truth(nodes: DataFrame, least: float = COSINE, sample: int = AUDITED) -> DataFrame:
-    """``label, dims, a, b``: the links of sampled classes by brute force against all of their label.
+    """``label, dims, node, links``: of sampled classes the links, by brute force against all of their label.
 
     ``sample`` classes, about, are asked in each large label and in all others together; in large labels that show
     fewer than ``LEAST_LINKS`` links, ever more, until they do or all are asked.
     """
-    short, parts, before, asked = _large(nodes), [], 0, sample
-    others = min(_DRAWS, -(-sample * _DRAWS // max(1, nodes.count())))
-    rows = nodes.withColumn("dims", F.size("v")).withColumn("draw", F.pmod(F.xxhash64(F.lit(11), "node"), F.lit(_DRAWS)))
+    sized = written(_sized(nodes).withColumn("draw", _hashed(11, F.lit(_DRAWS))), "sized")
+    small, large = sized.where(F.col("total") <= SHARD_ROWS), sized.where(F.col("total") > SHARD_ROWS)
+    rest = max(1, small.count())
+    chosen, parts, asked = small.where(F.col("draw") < -(-sample * _DRAWS // rest)).unionByName(large.where(F.col("draw") < _share(sample))), [], sample
+    short = written(large.select(*KEY, "total").distinct(), "short")
+    while True:
+        own = compared(chosen.select("node", "v", "label", "size"), nodes, least).where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
+        parts.append(written(own.join(chosen.select("node", *KEY), "node").select(*KEY, "node", "links"), "audit"))
+        seen = union_all(parts).groupBy(*KEY).agg(F.sum("links").alias("seen"))
+        short = short.join(seen, [*KEY], "left").where((F.coalesce("seen", F.lit(0)) < LEAST_LINKS) & (_share(asked) < _DRAWS)).select(*KEY, "total")
+        short = written(short, "short")
+        if short.isEmpty():
+            return union_all(parts)
+        drawn = large.join(small_or_not(short.select(*KEY)), [*KEY], "left_semi")
+        chosen = drawn.where((F.col("draw") >= _share(asked)) & (F.col("draw") < _share(8 * asked)))
+        asked *= 8
 
-    def share(m: int, n: int) -> int:
-        return _DRAWS if 4 * m >= n else -(-m * _DRAWS // n)
 
-    while True:
-        drawn = [(*key, n, share(before, n) if before else 0, share(asked, n)) for key, n in short.items()]
-        joined = rows.join(_labels(nodes, drawn, ", n bigint, low bigint, high bigint"), ["label", "dims"], "inner" if before else "left")
-        chosen = joined.where((F.col("draw") >= F.coalesce("low", F.lit(0))) & (F.col("draw") < F.coalesce("high", F.lit(others))))
-        parts.append(written(compared(chosen.withColumn("n", F.coalesce("n", F.lit(SHARD_ROWS))), nodes, least), "audit"))
-        true = written(union_all(parts).distinct(), "audit")
-        links = {(r.label, r.dims): r["count"] for r in true.groupBy("label", "dims").count().collect()}
-        short = {key: n for key, n in short.items() if links.get(key, 0) < LEAST_LINKS and share(asked, n) < _DRAWS}
-        if not short:
-            return true
-        before, asked = asked, 8 * asked
-
-
-def audit(nodes: DataFrame, pairs: DataFrame, least: float = COSINE, sample: int = AUDITED) -> tuple[int, int]:
-    """The links of ``truth``, and how many of them were found."""
-    true = truth(nodes, least, sample)
-    return true.count(), true.join(pairs, ["a", "b"], "left_semi").count()
+def _judged(true: DataFrame, found: DataFrame) -> DataFrame:
+    own = found.groupBy("node").agg(F.sum("links").alias("found"))
+    judged = true.join(own, "node", "left").groupBy(*KEY).agg(F.sum("links").alias("links"), F.sum(F.least("links", F.coalesce("found", F.lit(0)))).alias("found"))
+    return judged
 
 
-def _failing(true: DataFrame, pairs: DataFrame) -> list[tuple]:
-    """The labels and dimensions that miss too many links."""
-    judged = true.join(pairs.withColumn("found", F.lit(1)), ["a", "b"], "left").groupBy("label", "dims").agg(F.count("*").alias("n"), F.count("found").alias("found"))
-    return [(r.label, r.dims) for r in judged.where(F.col("found") < RECALL * F.col("n")).collect()]
+def audit(nodes: DataFrame, found: DataFrame, least: float = COSINE, sample: int = AUDITED) -> tuple[int, int]:
+    """The links of ``truth``, and how many of them were found."""
+    sums = _judged(truth(nodes, least, sample), found).agg(F.coalesce(F.sum("links"), F.lit(0)), F.coalesce(F.sum("found"), F.lit(0))).first()
+    return tuple(sums)
 
 
-def linked_pairs(nodes: DataFrame) -> DataFrame:
-    """Distinct ``a, b`` (a < b) of classes, searched for until the audit finds enough of them in every label."""
+def linked(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node, n`` (vectors linked) and ``node, root`` of classes, searched for until the audit finds enough links in every label."""
     overlap, beam = OVERLAP, BEAM
-    pairs, true = find_pairs(nodes, overlap, beam), truth(nodes)
-    while failing := _failing(true, pairs):
-        part = nodes.withColumn("dims", F.size("v")).join(_labels(nodes, failing), ["label", "dims"], "left_semi")
+    found, true = find(nodes, overlap, beam), truth(nodes)
+    while not (failing := written(_judged(true, found).where(F.col("found") < RECALL * F.col("links")).select(*KEY), "failing")).isEmpty():
+        part = nodes.withColumn("dims", F.size("v")).join(small_or_not(failing), [*KEY], "left_semi").drop("dims")
         if overlap >= 4 * OVERLAP:
-            more = compared(part.join(small_or_not(written(_sizes(part), "sizes")), ["label", "dims"]), part).select("a", "b")
+            more = written(compared(part, nodes), "found")
         else:
             overlap, beam = 2 * overlap, 2 * beam
-            more = find_pairs(part, overlap, beam)
-        pairs = written(pairs.unionByName(more).distinct(), "pairs")
-    # what the audit has seen beyond that are links too
-    return written(pairs.unionByName(true.select("a", "b").join(pairs, ["a", "b"], "left_anti")), "pairs")
+            more = find(part, overlap, beam)
+        # the new counts stand for the old ones of those labels
+        found = written(found.join(part.select("node"), "node", "left_anti").unionByName(more), "found")
+    return found.groupBy("node").agg(F.sum("n").alias("n")), found.where("node <> root").select("node", "root")
 
 
 def group(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -342,16 +394,25 @@ def group(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFr
     rows = written(classes(df, id_col, vector_col, label_col), "rows")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("size"))
     nodes = written(nodes, "classes")
-    pairs = linked_pairs(nodes)
-    sizes = nodes.select("node", "size")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(sizes.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sum("size").alias("others"))
-    comps = components(pairs)
-    linked = nodes.select("node", "size").join(others, F.col("node") == F.col("a"), "left").join(comps, "node", "left")
-    linked = linked.select("node", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("comp", "node").alias("comp")).where("n_links > 0")
-    full = rows.select("vec_id", "node").join(small_or_not(written(linked, "linked")), "node", "left")
+    others, edges = linked(nodes)
+    counted = nodes.select("node", "size").join(others, "node", "left").join(components(edges), "node", "left")
+    counted = counted.select("node", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("comp", "node").alias("comp")).where("n_links > 0")
+    full = rows.select("vec_id", "node").join(small_or_not(written(counted, "linked")), "node", "left")
     full = written(full.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "comp"), "linked")
     least = full.where("comp IS NOT NULL").groupBy("comp").agg(F.min("vec_id").alias("least"))
     joined = full.join(small_or_not(written(least, "least")), "comp", "left")
     component = F.when(F.col("comp").isNull(), F.col("vec_id")).otherwise(F.col("least"))
     return joined.select("vec_id", "n_links", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def oracle() -> str:
+    """DuckDB SQL of ``group`` over vectors with different ids."""
+    return f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= {COSINE}),
+reach AS (SELECT x AS vec_id, y AS other FROM links UNION SELECT r.vec_id, l.y FROM reach r JOIN links l ON r.other = l.x),
+least_of AS (SELECT vec_id, min(other) AS least FROM reach GROUP BY vec_id), counted AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(least, vec_id), vec_id) AS component_id, vec_id = coalesce(least(least, vec_id), vec_id) AS kept
+FROM embeddings LEFT JOIN least_of USING (vec_id) LEFT JOIN counted USING (vec_id)"""
