@@ -8,6 +8,7 @@ parses them as browsers do; it gets nulls for all other rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from urllib.parse import quote
 
 import pandas as pd
@@ -169,6 +170,12 @@ def parts(url: Column, *, native: bool = False) -> Column:
     return F.when(own, regular).otherwise(_irregular(F.when(own, F.lit(None)).otherwise(url)))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once. Plans repeat an expression wherever it is used: URL parts, used many times, would
+    make code that can't be compiled."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def origin(p: Column) -> Column:
     """Scheme, host (empty, if there is none) and port."""
     return F.concat(p["scheme"], F.lit("://"), F.coalesce(p["host"], F.lit("")), F.coalesce(F.concat(F.lit(":"), p["port"]), F.lit("")))
@@ -190,10 +197,13 @@ def query_tokens(query: Column) -> Column:
 
 def normalised(url: Column, *, native: bool = False) -> Column:
     """One trailing slash less (but for the root), query tokens in byte order, standard spelling; what isn't a URL stays."""
-    p = parts(url, native=native)
-    path = F.when((F.length(p["path"]) > 1) & F.endswith(p["path"], F.lit("/")), F.substring(p["path"], F.lit(1), F.length(p["path"]) - 1)).otherwise(p["path"])
-    query = F.array_join(F.array_sort(query_tokens(p["query"])), "&")
-    return F.when(p["ok"], rebuilt(p, path, F.when(query != "", query))).otherwise(url)
+
+    def normal(p: Column) -> Column:
+        path = F.when((F.length(p["path"]) > 1) & F.endswith(p["path"], F.lit("/")), F.substring(p["path"], F.lit(1), F.length(p["path"]) - 1)).otherwise(p["path"])
+        query = F.array_join(F.array_sort(query_tokens(p["query"])), "&")
+        return F.when(p["ok"], rebuilt(p, path, F.when(query != "", query))).otherwise(url)
+
+    return bound(parts(url, native=native), normal)
 
 
 def extension(url: Column, *, native: bool = False) -> Column:
@@ -201,12 +211,14 @@ def extension(url: Column, *, native: bool = False) -> Column:
 
     Of strings that aren't URLs: after the last dot of what follows the last slash, up to a question mark.
     """
-    p = parts(url, native=native)
-    last = F.regexp_extract(p["path"], r"([^/]*)$", 1)
-    own = F.when(F.rlike(last, F.lit(r"^.+[.]")) & (last != ".."), F.lower(F.regexp_extract(last, r"[.]([^.]*)$", 1)))
     name = F.regexp_extract(url, r"([^/]*)$", 1)
     loose = F.when(F.contains(name, F.lit(".")), F.lower(F.regexp_extract(name, r"[.]([^.?]*)(?:[?][^.]*)?$", 1)))
-    return F.when(p["ok"], own).otherwise(loose)
+
+    def own(p: Column) -> Column:
+        last = F.regexp_extract(p["path"], r"([^/]*)$", 1)
+        return F.when(p["ok"], F.when(F.rlike(last, F.lit(r"^.+[.]")) & (last != ".."), F.lower(F.regexp_extract(last, r"[.]([^.]*)$", 1)))).otherwise(loose)
+
+    return bound(parts(url, native=native), own)
 
 
 def host_key(host: Column) -> Column:

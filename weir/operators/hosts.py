@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.functions.urls import host_key, parts
+from weir.functions.urls import bound, host_key, parts
 
 #: Targets up to which the test is part of the plan; more are joined by key, and broadcast while few enough.
 LITERAL_TARGETS = 200
@@ -22,7 +22,7 @@ def host_candidates(host: Column, subdomains: bool) -> Column:
 
 
 def host_in(host: Column, keys: list[str], subdomains: bool) -> Column:
-    """The same test for a few targets, without functions of arrays: these can't hold the parser of irregular URLs."""
+    """The same test for a few targets."""
     if not subdomains:
         return host.isin([*keys, *(f"www.{k}" for k in keys)])
     out = host.isin(keys)
@@ -37,15 +37,14 @@ def host_filter(df: DataFrame, targets: list[str], *, subdomains: bool = False,
     Strings without a host don't pass.
     """
     keys = sorted({t.lower().rstrip(".") for t in targets} - {""})
-    p = parts(F.col(url_col), native=native)
-    host = F.when(p["ok"], host_key(p["host"]))
-    valid = host.isNotNull() & (host != "") & ~F.startswith(host, F.lit(".")) & ~F.startswith(host, F.lit("-"))
+    host = bound(parts(F.col(url_col), native=native), lambda p: F.when(p["ok"], host_key(p["host"])))
+    valid = lambda h: h.isNotNull() & (h != "") & ~F.startswith(h, F.lit(".")) & ~F.startswith(h, F.lit("-"))
     if len(keys) <= LITERAL_TARGETS:
-        return df.where(valid & host_in(host, keys, subdomains))
+        return df.where(bound(host, lambda h: valid(h) & host_in(h, keys, subdomains)))
     table = df.sparkSession.createDataFrame([(k,) for k in keys], "_target string")
     if len(keys) <= BROADCAST_TARGETS:
         table = F.broadcast(table)
-    hosts = df.where(valid).withColumn("_host", host)
+    hosts = df.withColumn("_host", host).where(valid(F.col("_host")))
     # hosts are far fewer than rows: validate each once
     passing = hosts.select("_host").distinct().withColumn("_target", F.explode(host_candidates(F.col("_host"), subdomains))).join(table, "_target", "left_semi").select("_host").distinct()
     return hosts.join(passing, "_host", "left_semi").drop("_host")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.functions.urls import normalised, origin, parts, query_tokens, rebuilt
+from weir.functions.urls import bound, normalised, origin, parts, query_tokens, rebuilt
 
 
 def normalize_urls(df: DataFrame, url_col: str = "url", *, native: bool = False) -> DataFrame:
@@ -15,9 +15,12 @@ def normalize_urls(df: DataFrame, url_col: str = "url", *, native: bool = False)
 
 def view_column(url: Column, kind: str, *, native: bool = False) -> Column:
     """``host``, ``path`` (but for the root) or ``param`` (the raw query, may be empty); what isn't a URL stays; else null."""
-    p = parts(url, native=native)
-    own = {"host": p["host"], "path": F.when(p["path"] != "/", p["path"]), "param": p["query"]}[kind]
-    return F.when(p["ok"], own).otherwise(url)
+
+    def shown(p: Column) -> Column:
+        own = {"host": p["host"], "path": F.when(p["path"] != "/", p["path"]), "param": p["query"]}[kind]
+        return F.when(p["ok"], own).otherwise(url)
+
+    return bound(parts(url, native=native), shown)
 
 
 def view(df: DataFrame, kind: str, url_col: str = "url", *, native: bool = False) -> DataFrame:
@@ -36,7 +39,7 @@ def merge_endpoints(df: DataFrame, url_col: str = "url", *, native: bool = False
     the order of their first appearance and only once; without any the base keeps its own query. What isn't a URL stays. Tokens are made distinct before they are gathered, so a hot endpoint moves its distinct tokens only.
     """
     urls = df.select(F.col(url_col).alias("url")).distinct().withColumn("p", parts(F.col("url"), native=native))
-    keyed = urls.withColumn("key", F.when(F.col("p.ok"), F.concat(origin(F.col("p")), F.col("p.path"))).otherwise(F.col("url")))
+    keyed = urls.withColumn("key", bound(F.col("p"), lambda p: F.when(p["ok"], F.concat(origin(p), p["path"])).otherwise(F.col("url"))))
     base = keyed.groupBy("key").agg(F.min(F.struct("url", "p")).alias("base"), F.count("*").alias("n"))
     tokens = keyed.select("key", "url", F.posexplode(query_tokens(F.col("p.query"))).alias("pos", "token"))
     first = tokens.groupBy("key", "token").agg(F.min(F.struct("url", "pos")).alias("at"))
