@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 from weir.llm import urlfilter as uf
 from weir.llm.queries import ORACLES, QUERIES
 
@@ -49,5 +51,31 @@ def test_allowing_patterns_win(spark):
     assert [r.verdict for r in out.collect()] == ["allow"]
 
 
+def test_rule_lists(spark, tmp_path):
+    (tmp_path / "rules.txt").write_text("! note\n\nblock Bad.org/x\nallow org/\n||Ads.\n@@||ads.good.net^\n||ads.\n# note\n|http://c.net|\n")
+    places, patterns = uf.read_rules(spark, str(tmp_path / "rules.txt"))
+    assert places == [uf.Place("bad.org", "/x", "block"), uf.Place("org", "/", "allow")]
+    assert patterns == [uf.Pattern("||ads.", "block"), uf.Pattern("||ads.good.net^", "allow"), uf.Pattern("|http://c.net|", "block")]
+    df = spark.createDataFrame([(1, "http://ads.good.net/"), (2, "http://ads.bad.net/"), (3, "http://bad.org/xy"), (4, "http://ads.x.org/"), (5, "http://c.net"), (6, "http://c.net/")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in uf.judge(df, "page_id", "url", places, patterns).collect()} == {1: "allow", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "allow"}
+    for bad in ("||x.net^$third-party", "x.net##.banner", "||", "deny x.org/"):
+        with pytest.raises(ValueError, match="line 1"):
+            uf.parse_rules([bad])
+
+
+def test_thousands_of_rules(spark):
+    """Only a url's own rules run; both forms agree, for null urls and rules without tokens, too."""
+    rules = [uf.Pattern(f"||site{i}.test^", "block") for i in range(2500)] + [uf.Pattern("track", "block"), uf.Pattern("||site7.test/free/", "allow")]
+    urls = [f"http://a.site{i}.test/p" for i in range(0, 5000, 500)] + ["http://site7.test/free/x", "http://ok.test/tracker", "http://ok.test/", None, ""]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = {i: "block" if i < 5 or i == 11 else "allow" for i in range(len(urls))}
+    for limit in (5000, 10):
+        assert {r.page_id: r.verdict for r in uf.judge(df, "page_id", "url", uf.PLACES, rules, literal_rules=limit).collect()} == want
+    everything = [uf.Pattern("", "block")]
+    assert all({r.verdict for r in uf.judge(df, "page_id", "url", (), everything, literal_rules=n).collect()} == {"block"} for n in (5, 0))
+    index = uf.build_index(df, rules)
+    assert max(len(ids) for token, ids in index.items() if token) < 5
+
+
 def test_oracle(spark):
     assert compare(spark, QUERIES["op8_urls"], ORACLES["op8_urls"])

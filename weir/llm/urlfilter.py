@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.llm.shared import small_or_not
@@ -80,6 +80,35 @@ PATTERNS = tuple(
 )
 
 
+def parse_rules(lines) -> tuple[list[Place], list[Pattern]]:
+    """Rules of a list's lines: ``allow`` or ``block`` and a place, or a pattern, which blocks unless ``@@`` stands before it.
+
+    Lines that are blank or begin with ``!`` or ``#`` are notes. Options and rules for parts of pages aren't understood
+    and raise, since leaving them out would change verdicts. Repeated rules count once.
+    """
+    places, patterns = {}, {}
+    for number, line in enumerate(lines, 1):
+        text = line.strip()
+        if not text or text[0] in "!#":
+            continue
+        action, _, place = text.partition(" ")
+        if action in ("allow", "block") and place.strip():
+            host, slash, path = place.strip().partition("/")
+            places[Place(host.lower(), slash + path, action)] = None
+            continue
+        allow = text.startswith("@@")
+        text = text.removeprefix("@@").lower()
+        if "$" in text or "##" in text or "#@#" in text or " " in text or not text.strip("|*^"):
+            raise ValueError(f"line {number} isn't a rule: {line.strip()!r}")
+        patterns[Pattern(text, "allow" if allow else "block")] = None
+    return list(places), list(patterns)
+
+
+def read_rules(spark: SparkSession, path: str) -> tuple[list[Place], list[Pattern]]:
+    """``parse_rules`` of a file; rules are held by the driver, as lists of rules are small beside tables."""
+    return parse_rules(r.value for r in spark.read.text(path).collect())
+
+
 def quoted(text: str) -> str:
     """A literal for Java's and RE2's regular expressions."""
     return re.sub(r"([^A-Za-z0-9_/ -])", r"\\\1", text)
@@ -164,9 +193,11 @@ def judge(df: DataFrame, id_col: str, url_col: str, places=PLACES, patterns=PATT
         found = _fitting_by_plan(rules, n, index)
         name, verdict = _decide(F.col("found"), rules, n, default)
         return parts.withColumn("found", found).select("page_id", "host", "path", name.alias("rule"), verdict.alias("verdict"))
+    # a null url is judged as an empty one
+    parts = parts.withColumn("url", F.coalesce("url", F.lit("")))
     verdicts = _verdicts_by_join(parts.select("url", "host", "path").distinct(), rules, n, index, default)
-    verdicts = verdicts.withColumnRenamed("url", "_url")
-    joined = parts.join(verdicts, parts["url"] == verdicts["_url"], "left")
+    verdicts = verdicts.withColumnRenamed("url", "of")
+    joined = parts.join(verdicts, parts["url"] == verdicts["of"], "left")
     return joined.select("page_id", "host", "path", F.col("rule"), F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
