@@ -8,8 +8,11 @@ import pytest
 
 from weir.llm import minhash
 from weir.llm.components import components
+from weir.llm.queries import ORACLES, QUERIES
 from weir.llm.shared import table
 
+from .oracle import compare
+
 
 def shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda c: c[0].lower(), text or ""))
@@ -118,3 +121,7 @@ def test_components_of_chains_stars_and_rings(spark):
     random.Random(1).shuffle(edges)
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "x long, y long").repartition(7)).collect()}
     assert got == {n: 100 if n < 200 else n // 100 * 100 for e in edges for n in e if n != 7}
+
+
+def test_oracle(spark):
+    assert compare(spark, QUERIES["op3_minhash"], ORACLES["op3_minhash"])

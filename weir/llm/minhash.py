@@ -210,19 +210,22 @@ def screened(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def links(rows: DataFrame, sketch: DataFrame) -> DataFrame | None:
     """Links of classes, ``a, b``, that join every component that the bands' candidates make; None if no band is shared."""
-    bucketed = sketch.where("node IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
+    # copies meet before they move, so that neither a class nor its buckets are as large as their number
+    first = [F.first(c).alias(c) for c in ("n", "slots", "bands")]
+    classes = written(sketch.where("node IS NOT NULL").groupBy("node").agg(F.min("text_hash").alias("text_hash"), *first), "classes")
+    bucketed = classes.select("node", F.explode("bands").alias("bucket"))
     leads = bucketed.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("bucket", "a")
     led = bucketed.join(leads, "bucket").where("node <> a").groupBy("a", F.col("node").alias("b")).count()
     led = written(led, "leaders")
     if led.isEmpty():
         return None
     best = led.groupBy("b").agg(F.max(F.struct("count", -F.col("a"), "a")).alias("m"))
-    first = best.select(F.col("m.a").alias("a"), "b")
+    nearest = best.select(F.col("m.a").alias("a"), "b")
     shared = written(bucketed.join(leads.select("bucket"), "bucket", "left_semi").distinct(), "buckets")
     members = shared.select("node").distinct()
-    wanted = written(sketch.where("node IS NOT NULL").join(members, "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("slots").alias("slots")), "nodes")
+    wanted = written(classes.drop("bands").join(members, "node", "left_semi"), "nodes")
     sets = written(full_sets(rows, wanted.select("text_hash")), "sets")
-    found = written(confirmed(first, sets), "links")
+    found = written(confirmed(nearest, sets), "links")
     second = screened(_apart(led.select("a", "b"), components(found)), wanted)
     found = written(found.unionByName(confirmed(written(second, "pairs"), sets)), "links")
     comps = components(found)
@@ -317,3 +320,20 @@ def deduplicated(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         chosen = left.join(small_or_not(several), same).where(F.col("hash") == F.col("chosen")).dropDuplicates(["doc", "hash"])
         left = alone.unionByName(chosen.drop("doc", "hash", "chosen"))
     return left.toDF(*names)
+
+
+def oracle() -> str:
+    """DuckDB SQL of ``group`` over documents with different ids."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {WORDS} THEN [array_to_string(words, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(words) - {WORDS - 2}), lambda i: array_to_string(words[i:i + {WORDS - 1}], ' '))) END AS shingles FROM w),
+e AS MATERIALIZED (SELECT doc_id, hash(shingle) AS h, shingle, n FROM (SELECT doc_id, unnest(shingles) AS shingle, len(shingles) AS n FROM s)),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS m, b.n, count(*) AS common FROM e a JOIN e b ON a.h = b.h AND a.shingle = b.shingle
+  WHERE a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= {SIMILAR} * greatest(a.n, b.n) GROUP BY ALL),
+links AS MATERIALIZED (SELECT x, y FROM shared WHERE 100 * common >= {SIMILAR} * (m + n - common)),
+reach AS (SELECT x AS doc_id, y AS other FROM links UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.other = l.x),
+least_of AS (SELECT doc_id, min(other) AS least FROM reach GROUP BY doc_id)
+SELECT s.doc_id, len(shingles)::BIGINT AS n_shingles, coalesce(least(least, s.doc_id), s.doc_id) AS component_id, s.doc_id = coalesce(least(least, s.doc_id), s.doc_id) AS kept
+FROM s LEFT JOIN least_of USING (doc_id)"""

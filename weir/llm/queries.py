@@ -74,6 +74,8 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_secrets": secrets.oracle(),
     "op2_warc": warc.oracle(),
+    "op3_minhash": minhash.oracle(),
+    "op5_vectors": vectors.oracle(),
     "op8_urls": urlfilter.oracle(),
     "op10_topk": topk.oracle(),
 }
