@@ -161,7 +161,9 @@ def _label(nodes: DataFrame) -> str:
 
 
 def _sized(nodes: DataFrame) -> DataFrame:
-    """``node, v, label, size, dims`` with ``total``, the vectors of the label and dimension."""
+    """``node, v, label, size, dims`` with ``total``, the vectors of the label and dimension; as it is, if it has them."""
+    if "total" in nodes.columns:
+        return nodes
     rows = nodes.select("node", "v", "label", "size", F.size("v").alias("dims"))
     sizes = written(rows.groupBy(*KEY).agg(F.count("*").alias("total")), "sizes")
     return rows.join(small_or_not(sizes), [*KEY])
@@ -284,8 +286,10 @@ def compared(asked: DataFrame, nodes: DataFrame, least: float = COSINE) -> DataF
 
     Classes that weren't asked for themselves occur where they are connected, without counts.
     """
-    asked = written(_sized(asked), "asked").withColumnRenamed("total", "asked")
-    wanted = asked.select(*KEY, "asked").distinct().join(_sized(nodes).select(*KEY, "total").distinct(), [*KEY])
+    nodes = _sized(nodes)
+    asked = written(asked.select("node", "v", "label", "size", F.size("v").alias("dims")), "asked")
+    totals = nodes.select(*KEY, "total").distinct()
+    wanted = asked.groupBy(*KEY).agg(F.count("*").alias("asked")).join(totals, [*KEY])
     wanted = wanted.select(*KEY, F.ceil(F.col("total") / BLOCK_ROWS).alias("block"), F.ceil(F.col("asked") / BLOCK_ROWS).alias("asking"))
     wanted = small_or_not(written(wanted, "wanted"))
     keys = [*KEY, "block", "asking"]
@@ -338,7 +342,8 @@ def truth(nodes: DataFrame, least: float = COSINE, sample: int = AUDITED) -> Dat
     ``sample`` classes, about, are asked in each large label and in all others together; in large labels that show
     fewer than ``LEAST_LINKS`` links, ever more, until they do or all are asked.
     """
-    sized = written(_sized(nodes).withColumn("draw", _hashed(11, F.lit(_DRAWS))), "sized")
+    nodes = _sized(nodes)
+    sized = nodes.withColumn("draw", _hashed(11, F.lit(_DRAWS)))
     small, large = sized.where(F.col("total") <= SHARD_ROWS), sized.where(F.col("total") > SHARD_ROWS)
     rest = max(1, small.count())
     chosen, parts, asked = small.where(F.col("draw") < -(-sample * _DRAWS // rest)).unionByName(large.where(F.col("draw") < _share(sample))), [], sample
@@ -370,10 +375,10 @@ def audit(nodes: DataFrame, found: DataFrame, least: float = COSINE, sample: int
 
 def linked(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``node, n`` (vectors linked) and ``node, root`` of classes, searched for until the audit finds enough links in every label."""
-    overlap, beam = OVERLAP, BEAM
+    overlap, beam, nodes = OVERLAP, BEAM, _sized(nodes)
     found, true = find(nodes, overlap, beam), truth(nodes)
     while not (failing := written(_judged(true, found).where(F.col("found") < RECALL * F.col("links")).select(*KEY), "failing")).isEmpty():
-        part = nodes.withColumn("dims", F.size("v")).join(small_or_not(failing), [*KEY], "left_semi").drop("dims")
+        part = nodes.join(small_or_not(failing), [*KEY], "left_semi")
         if overlap >= 4 * OVERLAP:
             more = written(compared(part, nodes), "found")
         else:
