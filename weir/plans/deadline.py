@@ -51,7 +51,11 @@ def collect(spark: SparkSession, scans: dict[str, DataFrame], path: str, max_tim
             if timer:
                 timer.cancel()
     ended = {name: task.result() for name, task in running.items()}
-    out = spark.createDataFrame([(None, name, kind) for name, (_, kind) in ended.items() if kind], "url string, source string, kind string")
+    # as literals: a Python worker may have been cut off with a cancelled job, and rows of Python's need one
+    none = F.lit(None).cast("string").alias("url")
+    notes = [F.struct(none, F.lit(name).alias("source"), F.lit(kind).alias("kind")) for name, (_, kind) in ended.items() if kind]
+    empty = F.array().cast("array<struct<url:string,source:string,kind:string>>")
+    out = spark.range(1).select(F.inline(F.array(*notes) if notes else empty))
     for folder, _ in ended.values():
         if folder:
             out = out.unionByName(spark.read.schema("url string, source string, kind string").parquet(folder))
