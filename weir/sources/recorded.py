@@ -3,6 +3,7 @@
 Responses are files (JSON lines or Parquet) of ``source, domain, scope, page_no, http_status, content_type, body``, read
 by Spark in as many partitions as the files give. ``scope`` is the index of Common Crawl, the endpoint of OTX, the
 scheme of a robots file, the address of a sitemap; else null. ``page_no`` -1 is an index's answer to how many pages it has.
+A robots file may be recorded in parts, cut between lines and numbered by ``page_no``; the caps hold for each part.
 
 A walk follows its source's own rule from page to page: cursors, counts, stops, caps. It is found from a few small
 values of each page, not from bodies. A scan never fails for a bad page: it emits rows of kind ``url``, ``partial``
@@ -172,9 +173,10 @@ def scan_one(pages: DataFrame, provider: str, pairs: DataFrame, *, subdomains: b
     p = PROVIDERS[provider]
     pairs = pairs.where(F.col("source") == provider)
     if provider == "robots":
-        # the encrypted file counts where there is one
-        good = pages.where((F.col("source") == "robots") & _ok(pages) & F.col("scope").isin("https", "http")).groupBy("domain").agg(F.max(F.struct("scope", "body")).alias("r"))
-        bodies = good.join(pairs.select("domain"), "domain", "left_semi").select("domain", F.col("r.scope").alias("proto"), F.col("r.body").alias("body"))
+        # the encrypted file counts where there is one; all its recorded parts do
+        good = pages.where((F.col("source") == "robots") & _ok(pages) & F.col("scope").isin("https", "http")).select("domain", F.col("scope").alias("proto"), "body")
+        best = written(good.groupBy("domain").agg(F.max("proto").alias("proto")).join(pairs.select("domain"), "domain", "left_semi"), "robots")
+        bodies = good.join(small_or_not(best), ["domain", "proto"], "left_semi")
         return _kinds(decode.robots(bodies).select("url", F.lit(provider).alias("source"), F.lit(None).cast("string").alias("scope"), "domain").distinct(), "url")
     if provider == "sitemap":
         documents = pages.where((F.col("source") == "sitemap") & _ok(pages) & (F.octet_length("body") <= SITEMAP_BYTES))
