@@ -3,6 +3,7 @@
 import collections
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -107,3 +108,25 @@ def test_many_tiny_documents_fill_windows(spark):
     docs = [(i, "a b") for i in range(3000)]
     rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), "doc_id", "text", block=2).collect()
     check(rows, docs)
+
+
+def test_encoder_holds_nothing_of_its_texts():
+    """Its memory is its vocabulary, however many words come again."""
+    encoder = packing._encoder(bpe.default_vocabulary())
+    texts = [" ".join(f"{chr(97 + i % 26)}word{i * 7919 + k}" for k in range(20)) for i in range(3000)]
+    encoder.encode_batch(texts[:10])
+    tracemalloc.start()
+    for _ in range(3):
+        encoder.encode_batch(texts)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 1_000_000
+
+
+@pytest.mark.parametrize("part", [3, 1 << 20])
+def test_ids_are_the_library_s_with_long_runs_and_in_parts(monkeypatch, part):
+    monkeypatch.setattr(packing.parts, "__defaults__", (part,))
+    encoder = packing._encoder(bpe.default_vocabulary())
+    texts = ["", " ", "it's  we'LL \x1c x\x85y\u3000z", "a<|endoftext|> b", " " * 150_000 + "x", "a" + "\n" * 1_200_000 + "b c", "x" * 300_000, "a b  c " * 300]
+    for text, ids in zip(texts, encoder.encode_batch(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids

@@ -17,7 +17,10 @@ window's worth of pieces.
 from __future__ import annotations
 
 import heapq
+import itertools
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -34,33 +37,54 @@ END_ID = 0
 CAPACITY = 1024
 #: Tails that are split together.
 BLOCK = 128
+#: Longer texts are encoded part by part.
+PART_CHARS = 1 << 20
+#: Texts with as long a run of white space are cut into pre-tokens here.
+WHITE_RUN = 100_000
+_WHITE = re.compile(r"\s{64,}").finditer
+_SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)").search
 
 
-class PieceBpe(TrieBpe):
-    """The same ids with new pre-tokens encoded by the ``tiktoken`` library, where ids follow the order of merges."""
+class TextBpe(TrieBpe):
+    """The same ids from the ``tiktoken`` library, where ids follow the order of merges.
+
+    It cuts texts into pre-tokens and encodes them in one go and remembers nothing of them, so a worker holds its
+    vocabulary only. Its pattern matcher can't take runs of about a million white spaces; texts with long runs are cut here.
+    """
 
     def __init__(self, path: str):
         super().__init__(path)
         ranked = sorted((i for i in self.ids.values() if self._rank[i] >= 0), key=self._rank.__getitem__)
         self._core = None
         if ranked == sorted(ranked) and len(self.vocab) == len(self.ids):
-            self._core = tiktoken.Encoding("vocabulary", pat_str=PRETOKEN_PATTERN, mergeable_ranks=self.ids, special_tokens={})._core_bpe
+            core = tiktoken.Encoding("vocabulary", pat_str=PRETOKEN_PATTERN, mergeable_ranks=self.ids, special_tokens={})._core_bpe
+            # the trie isn't used: only what cuts texts stays
+            self.__dict__ = {"_core": core, "specials": self.specials, "_special": self._special, "_pretokens": self._pretokens}
 
-    def _encode_words(self, words):
+    def _encode_group(self, texts: list[str]) -> list[bytes]:
         if self._core is None:
-            return super()._encode_words(words)
-        encode, known = self._core.encode_single_piece, self.ids
-        out = {}
-        for word in words:
-            piece = word.encode()
-            one = known.get(piece)
-            ids = [one] if one is not None else encode(piece)
-            out[word] = b"".join([i.to_bytes(4, "little") for i in ids])
-        return out
+            return super()._encode_group(texts)
+        return [b"".join(map(self._encode_part, parts(text))) for text in texts]
+
+    def _encode_part(self, text: str) -> bytes:
+        if len(text) >= WHITE_RUN and any(m.end() - m.start() >= WHITE_RUN for m in _WHITE(text)):
+            ids = itertools.chain.from_iterable(self._core.encode_single_piece(word.encode()) for word in self._pretokens(text))
+        else:
+            ids = self._core.encode_ordinary(text)
+        return array("I", ids).tobytes()
+
+
+def parts(text: str, chars: int = PART_CHARS) -> Iterator[str]:
+    """``text`` in parts of ``chars`` characters and up to the next single space between others, where a pre-token begins."""
+    start = 0
+    while len(text) - start > chars and (cut := _SINGLE_SPACE(text, start + chars)):
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:] if start else text
 
 
 def _encoder(path: str) -> TrieBpe:
-    return held(("packing", path), lambda: PieceBpe(path))
+    return held(("packing", path), lambda: TextBpe(path))
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
