@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -125,3 +126,17 @@ def test_components_of_chains_stars_and_rings(spark):
 
 def test_oracle(spark):
     assert compare(spark, QUERIES["op3_minhash"], ORACLES["op3_minhash"])
+
+
+def test_signatures_in_blocks_take_little_memory():
+    """The same signatures as at once, in a fraction of the memory."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 62, 1000).astype(np.uint64)) for _ in range(200)]
+    tracemalloc.start()
+    blocks = minhash._superminhash_in_blocks(sets)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.reset_peak()
+    at_once = minhash.superminhash(sets)
+    _, whole = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert (blocks == at_once).all() and peak < whole / 2

@@ -126,7 +126,7 @@ def band_values(signatures: np.ndarray) -> np.ndarray:
     return out
 
 
-def _superminhash_in_blocks(sets: list[np.ndarray], most: int = 200_000) -> np.ndarray:
+def _superminhash_in_blocks(sets: list[np.ndarray], most: int = 50_000) -> np.ndarray:
     """In blocks of so many elements, or one set."""
     out, block, held = [], [], 0
     for s in sets:
